@@ -7,7 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, token_cache
+from . import common, decontaminate, mixture, telephony, token_cache, warc
+
+
+def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = telephony.pack(docs).select("doc_id", "n_bytes", "codec", "media")
+    back = telephony.read_back(common.stored(packed, "media"))
+    return back.select("doc_id", "n_bytes", *[f.name for f in telephony.READ_FIELDS], "codec")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +30,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixture.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mixture.sorted_documents(mixed)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = common.stored(warc.write_packages(common.table(spark, sf_dir, "pages")), "packages")
+    read = warc.read_packages(packages, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 MAX_TOKENS = 4096
 
 
@@ -35,4 +54,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_telephony, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}

@@ -21,4 +21,42 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op6_mixture": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s),
+w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, source_size * 2 AS most FROM r),
+l AS (
+  SELECT *, most / weight AS ratio,
+    ((SELECT sum(source_size) FROM s) * CAST(1.5 AS DOUBLE) - coalesce(CAST(sum(most) OVER o AS BIGINT), 0))
+      / CAST((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0) AS BIGINT) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first AS (SELECT level AS found FROM l WHERE most > weight * level ORDER BY ratio, rank LIMIT 1),
+t AS (
+  SELECT source, source_size, weight, CASE WHEN found IS NULL THEN CAST(most AS DOUBLE) ELSE least(CAST(most AS DOUBLE), weight * found) END AS target
+  FROM l LEFT JOIN first ON true),
+p AS (
+  SELECT d.doc_id, d.size, t.*, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before,
+    least(CAST(floor(target + 0.5) AS BIGINT), source_size * 2) AS goal
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS passes FROM p),
+k AS (SELECT *, passes * size + greatest(0, least(goal - passes * source_size - before, size)) AS taken, before / target AS u FROM q)
+SELECT doc_id, size, source_size, target, CAST(taken AS BIGINT) AS taken,
+  CASE WHEN taken > 0 THEN CASE weight
+    WHEN 5 THEN 0.0::DOUBLE + (sqrt(2.25::DOUBLE + -2.0::DOUBLE * (u * 1.0::DOUBLE - 0.0::DOUBLE)) - 1.5::DOUBLE) / -1.0::DOUBLE
+    WHEN 2 THEN 0.0::DOUBLE + u
+    ELSE 0.0::DOUBLE + (sqrt(0.25::DOUBLE + 2.0::DOUBLE * (u * 1.0::DOUBLE - 0.0::DOUBLE)) - 0.5::DOUBLE) / 1.0::DOUBLE END END AS position
+FROM k""",
+    "op9_warc": r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(p.h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top OR top IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top OR top IS NULL THEN NULL ELSE top END AS refers_to
+FROM p JOIN f USING (h)""",
 }
