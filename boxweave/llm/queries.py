@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixture, telephony, token_cache, warc
+from . import common, decontaminate, mixture, near_dup, telephony, token_cache, warc
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", *[f.name for f in telephony.READ_FIELDS], "codec")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(common.table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
@@ -54,4 +58,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_telephony, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}
