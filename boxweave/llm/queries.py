@@ -7,7 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, mixture, near_dup, telephony, token_cache, warc
+from . import common, decontaminate, lang_id, mixture, near_dup, telephony, token_cache, warc
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = lang_id.train(docs, where=lang_id.learnable())
+    named = lang_id.identify(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", (~lang_id.learnable()).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +65,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}
