@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lang_id, mixture, near_dup, telephony, token_cache, warc
+from . import common, decontaminate, lang_id, mixture, near_dup, pii, telephony, token_cache, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.sorted_documents(mixed)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], base, "spans")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = common.stored(warc.write_packages(common.table(spark, sf_dir, "pages")), "packages")
     read = warc.read_packages(packages, payloads=False)
@@ -65,4 +71,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op7_personal_data, op9_warc, op10_token_counts)}
