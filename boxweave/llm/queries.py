@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lang_id, mixture, near_dup, pii, telephony, token_cache, warc
+from . import common, decontaminate, lang_id, licenses, mixture, near_dup, pii, telephony, token_cache, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_bytes", *[f.name for f in telephony.READ_FIELDS], "codec")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(common.table(spark, sf_dir, "documents"), shingle=2)
 
@@ -71,4 +75,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op4_near_duplicates, op5_decontaminate, op6_mixture, op7_personal_data, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op3_license_scan, op4_near_duplicates, op5_decontaminate, op6_mixture, op7_personal_data, op9_warc, op10_token_counts)}

@@ -1,8 +1,34 @@
 """DuckDB SQL for those queries which it can express over whole tables."""
 
+from .licenses import TEMPLATES, THRESHOLD
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_QUOTED = ", ".join("({}, '{}', '{}')".format(k, i, t.replace("'", "''")) for k, (i, t) in enumerate(TEMPLATES))
+
 ORACLES = {
+    "op3_license_scan": rf"""
+WITH t AS (SELECT * FROM (VALUES {_QUOTED}) AS v(template, license_id, text)),
+u AS (
+  SELECT doc_id, CAST(p - 1 AS INTEGER) AS unit, parts[p] AS text FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p FROM (
+      SELECT doc_id, list_concat(string_split(x, chr(10)), regexp_split_to_array(x, '\n[ \t\r]*\n'), [x]) AS parts
+      FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)))),
+first AS (SELECT doc_id, text, min(unit) AS place FROM u GROUP BY doc_id, text),
+ranked AS (SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS unit FROM first),
+g AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT doc_id, unit, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM ranked)),
+tg AS (
+  SELECT template, license_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT template, license_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z0-9]+') AS w FROM t)),
+rows AS (SELECT doc_id, unit, len(g) AS n, unnest(g) AS gram FROM g WHERE len(g) > 0),
+trows AS (SELECT template, license_id, len(g) AS size, unnest(g) AS gram FROM tg),
+c AS (
+  SELECT doc_id, unit, template, license_id, 2 * count(*) / (n + size) AS dice
+  FROM rows JOIN trows USING (gram) GROUP BY doc_id, unit, template, license_id, n, size)
+SELECT doc_id, unit, license_id, dice FROM c WHERE dice >= {THRESHOLD}
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, template) = 1""",
     "op5_decontaminate": rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
