@@ -1 +1 @@
-"""Part of the engine."""
+"""Operators: functions from DataFrames to DataFrames."""

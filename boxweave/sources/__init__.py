@@ -1 +1 @@
-"""Part of the engine."""
+"""Reading and writing datasets of images and box labels."""

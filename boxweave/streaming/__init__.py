@@ -1 +1 @@
-"""Part of the engine."""
+"""Label files as they arrive: an addition, the batch operators do the work."""
