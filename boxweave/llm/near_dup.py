@@ -7,15 +7,19 @@ bands which make candidates, and of each only the low BITS are kept, packed in b
 planes.  Their agreement, corrected for chance collisions, estimates the
 similarity of a candidate pair; what may pass is confirmed on full sets.
 
+A parity sketch (of each set, which of PARITY cells hold an odd number of
+shingles) bounds a pair from the other side without error: two sets differ in at
+least as many shingles as their sketches do in bits.
+
 Equal word sequences are one node.  In a bucket (documents of one band value)
 nobody makes all pairs: first each member is compared with the bucket's least id.
 After components are found, only members of a bucket that are in another component
-than most of it are compared with the others there, and only pairs of different
-components whose estimate passes are made: the best few of each first, in the last
-round all that are left.  So every pair of a common bucket is either confirmed,
-refuted, or within a component, but for those whose estimate is over five
-standard deviations too low.  At similarity 0.8 a pair shares no bucket with a
-chance of (1 - 0.8 ** BAND) ** BANDS, 5e-8.
+than most of it are compared with the others there, by signatures and sketches
+within the join's condition; a pair is made only where both leave a link possible,
+which few pairs that are not linked pass.  So every pair of a common bucket is
+either confirmed, refuted, or within a component, but for those whose estimate is
+over five standard deviations too low.  At similarity 0.8 a pair shares no bucket
+with a chance of (1 - 0.8 ** BAND) ** BANDS, 5e-8.
 
 A null or empty text, or one of blanks, has no shingles, is linked with nothing
 and stays.  A null doc_id is in no group either.  Rows that share a doc_id count
@@ -41,16 +45,18 @@ BAND, BANDS, BITS = 4, 32, 2
 HASHES = BAND * BANDS
 #: Standard deviations by which an estimate may be too low.
 SLACK = 5.2
-#: Candidates that a document sends to another component, round by round; None: all.
-ROUNDS = (4, 64, None)
+#: Cells of a parity sketch.
+PARITY = 2048
 
 _WORDS = HASHES // 64
 PLANES = [f"s{i}" for i in range(BITS * _WORDS)]
+CELLS = [f"p{i}" for i in range(PARITY // 64)]
+SKETCH = [*PLANES, *CELLS]
 FIELDS = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("d0", T.LongType()),
     T.StructField("d1", T.LongType()),
-    *[T.StructField(p, T.LongType()) for p in PLANES],
+    *[T.StructField(p, T.LongType()) for p in SKETCH],
     T.StructField("bands", T.ArrayType(T.LongType())),
 ]
 _RANDOM = np.random.Generator(np.random.PCG64(20240501))
@@ -76,8 +82,12 @@ def sign(col: pa.Array, shingle: int) -> list[pa.Array]:
     n = len(col)
     full = np.flatnonzero(np.diff(bounds))
     sizes = np.zeros(n, np.int64)
+    parity = np.zeros((n, PARITY), np.uint8)
     for i in full:
-        sizes[i] = len(np.unique(grams[bounds[i] : bounds[i + 1]]))
+        own = np.unique(grams[bounds[i] : bounds[i + 1]])
+        sizes[i] = len(own)
+        parity[i] = np.bincount((own >> np.uint64(7) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    cells = np.packbits(parity, axis=1, bitorder="little").view("<i8")
     minima = np.zeros((HASHES, len(full)), np.uint32)
     if len(full):
         begins = bounds[:-1][full]
@@ -97,7 +107,7 @@ def sign(col: pa.Array, shingle: int) -> list[pa.Array]:
     lengths[full + 1] = BANDS
     bands = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), flat)
     digests = [_sequence_digests(words.rows, hashes, s).view(np.int64) for s in (1, 2)]
-    return [pa.array(sizes), *map(pa.array, digests), *map(pa.array, planes), bands]
+    return [pa.array(sizes), *map(pa.array, digests), *map(pa.array, planes), *map(pa.array, np.ascontiguousarray(cells.T)), bands]
 
 
 def estimate(left: str, right: str) -> Column:
@@ -114,13 +124,16 @@ def estimate(left: str, right: str) -> Column:
 
 
 def may_pass(left: str, right: str, percent: int) -> Column:
-    """False only where sizes rule a link out, or the estimate is far too low."""
+    """False only where sizes or sketches rule a link out, or the estimate is far
+    too low.  Sets of a and b shingles that differ in d of them are linked if
+    d * (100 + percent) <= (a + b) * (100 - percent)."""
     j, chance = percent / 100, 0.5**BITS
     agree = chance + (1 - chance) * j
     cut = j - SLACK * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
     sizes = (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    return sizes & (estimate(left, right) >= F.lit(cut))
+    differ = sum((F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in CELLS[1:]), F.bit_count(F.col(f"{left}.{CELLS[0]}").bitwiseXOR(F.col(f"{right}.{CELLS[0]}"))))
+    return sizes & (estimate(left, right) >= F.lit(cut)) & (differ * (100 + percent) <= (a + b) * (100 - percent))
 
 
 def shingles(text: str, n: int) -> set:
@@ -153,29 +166,24 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a bucket and may pass, less those
-    that are done; of each document with each other component, at most ``most``."""
+    that are done.  One of a pair is outside the component that holds most of the
+    bucket."""
     now = members.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     per = now.groupBy("band", "component_id").agg(F.count("*").alias("n"))
     mixed = per.groupBy("band").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
     inside = now.join(mixed, "band").join(nodes, "id")
-    side = lambda name: inside.select("band", "main", F.struct("id", "component_id", "n_shingles", *PLANES).alias(name))
+    side = lambda name: inside.select("band", "main", F.struct("id", "component_id", "n_shingles", *SKETCH).alias(name))
     stray = side("x").where("x.component_id <> main").drop("main")
     pairs = stray.join(side("y"), "band").where(
         (F.col("x.component_id") != F.col("y.component_id"))
         & ((F.col("y.component_id") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
         & may_pass("x", "y", percent)
     )
-    pairs = pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b"), F.col("y.component_id").alias("other"), estimate("x", "y").alias("e")).distinct()
+    pairs = pairs.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
     known = done.select("a", "b").unionAll(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = pairs.join(known, ["a", "b"], "left_anti")
-    if most is not None:
-        from pyspark.sql import Window
-
-        rank = F.row_number().over(Window.partitionBy("b", "other").orderBy(F.desc("e"), "a"))
-        pairs = pairs.withColumn("r", rank).where(F.col("r") <= most)
-    return pairs.select("a", "b")
+    return pairs.join(known, ["a", "b"], "left_anti")
 
 
 def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
@@ -184,29 +192,26 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, t
     signed = common.stored(common.annotate(narrow, "text", lambda col, _: sign(col, shingle), FIELDS).drop("text"), "signatures")
 
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "n_shingles", *PLANES, "bands")).alias("r"))
-    reps = classes.select("d0", "d1", F.col("r.doc_id").alias("id"), "r.n_shingles", *[f"r.{p}" for p in PLANES], "r.bands")
+    classes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "n_shingles", *SKETCH, "bands")).alias("r"))
+    reps = classes.select("d0", "d1", F.col("r.doc_id").alias("id"), "r.n_shingles", *[f"r.{p}" for p in SKETCH], "r.bands")
     reps = common.stored(reps, "classes")
-    nodes = reps.select("id", "n_shingles", *PLANES).dropDuplicates(["id"])
+    nodes = reps.select("id", "n_shingles", *SKETCH)
 
     buckets = reps.select("id", F.explode("bands").alias("band"))
     pivots = buckets.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = common.stored(buckets.join(pivots, "band"), "buckets")
 
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    side = lambda name, key: nodes.select(F.col("id").alias(key), F.struct("n_shingles", *PLANES).alias(name))
-    star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(may_pass("x", "y", percent)).select("a", "b")
+    side = lambda name, key: nodes.select(F.col("id").alias(key), F.struct("n_shingles", *SKETCH).alias(name))
+    star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(may_pass("x", "y", percent)).select("a", "b").distinct()
     texts = common.stored(narrow.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     done = common.stored(confirm(star, texts, shingle, percent), "links")
     labels = common.stored(connected(done.where("linked")), "labels")
     members = members.drop("pivot")
-    for most in ROUNDS:
-        pairs = common.stored(_cross_pairs(members, labels, nodes, done, percent, most), "pairs")
-        if pairs.isEmpty():
-            break
-        found = common.stored(confirm(pairs, texts, shingle, percent), "links")
-        done = done.unionAll(found)
+    pairs = common.stored(_cross_pairs(members, labels, nodes, done, percent), "pairs")
+    found = common.stored(confirm(pairs, texts, shingle, percent), "links")
+    if not found.where("linked").isEmpty():
         ties = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(found.where("linked").select("a", "b"))
         labels = common.stored(connected(ties), "labels")
 
