@@ -7,8 +7,6 @@ functions of the bytes: the same in every process and at every run.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..storage import shared_dir, stored  # noqa: F401
+
 #: Bytes of text that a numpy kernel sees at once, unless one text is longer.
 PIECE_BYTES = 4 << 20
 #: Rows and bytes of an Arrow batch; long texts make batches of few rows.
@@ -37,29 +37,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder which driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, local mode) a folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="boxweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    nothing is lost with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` less the columns of these names, in any case of letters."""
     drop = {n.lower() for n in names}

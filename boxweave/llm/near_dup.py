@@ -37,8 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import connected
 from . import common
-from .components import connected
 
 SHINGLE, PERCENT = 5, 80
 BAND, BANDS, BITS = 4, 32, 2
