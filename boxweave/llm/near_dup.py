@@ -65,7 +65,7 @@ _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _C = _RANDOM.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _sequence_digests(rows: np.ndarray, hashes: np.ndarray, salt: int) -> np.ndarray:
+def sequence_digests(rows: np.ndarray, hashes: np.ndarray, salt: int) -> np.ndarray:
     """A hash of each row's whole word sequence."""
     h = common.mix(hashes ^ np.uint64(salt))
     sums = np.zeros(len(h) + 1, np.uint64)
@@ -106,7 +106,7 @@ def sign(col: pa.Array, shingle: int) -> list[pa.Array]:
     lengths = np.zeros(n + 1, np.int32)
     lengths[full + 1] = BANDS
     bands = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), flat)
-    digests = [_sequence_digests(words.rows, hashes, s).view(np.int64) for s in (1, 2)]
+    digests = [sequence_digests(words.rows, hashes, s).view(np.int64) for s in (1, 2)]
     return [pa.array(sizes), *map(pa.array, digests), *map(pa.array, planes), *map(pa.array, np.ascontiguousarray(cells.T)), bands]
 
 

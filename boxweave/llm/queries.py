@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, lang_id, licenses, mixture, near_dup, pii, telephony, token_cache, warc
+from . import common, decontaminate, lang_id, licenses, mixture, near_dup, passages, pii, telephony, token_cache, warc
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], base, "spans")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = common.stored(warc.write_packages(common.table(spark, sf_dir, "pages")), "packages")
     read = warc.read_packages(packages, payloads=False)
@@ -75,4 +79,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op3_license_scan, op4_near_duplicates, op5_decontaminate, op6_mixture, op7_personal_data, op9_warc, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_telephony, op3_license_scan, op4_near_duplicates, op5_decontaminate, op6_mixture, op7_personal_data, op8_passages, op9_warc, op10_token_counts)}
