@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from ..storage import shared_dir, stored  # noqa: F401
 
 #: Bytes of text that a numpy kernel sees at once, unless one text is longer.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Rows and bytes of an Arrow batch; long texts make batches of few rows.
-BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
