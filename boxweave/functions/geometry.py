@@ -35,6 +35,12 @@ def intersection(a: str, b: str) -> Column:
     return F.greatest(w, F.lit(0)) * F.greatest(h, F.lit(0))
 
 
+def touches(x1: Column, y1: Column, x2: Column, y2: Column, tile_x: Column, tile_y: Column, size: int) -> Column:
+    """Whether a box meets a tile, be it in a line only; a coarser test than the
+    one which decides what a tile keeps."""
+    return (x2 >= tile_x) & (x1 <= tile_x + size) & (y2 >= tile_y) & (y1 <= tile_y + size)
+
+
 def area(a: str) -> Column:
     return (F.col(f"{a}.x2") - F.col(f"{a}.x1")) * (F.col(f"{a}.y2") - F.col(f"{a}.y1"))
 

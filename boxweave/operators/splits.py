@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def seeded_order(spark, keys: Iterable, seed: int, kind: str = "string") -> DataFrame:
     """(key, ord): positions after a seeded shuffle of a list held by the driver."""
@@ -62,7 +64,7 @@ def deployment_pages(counts: DataFrame, labels: Sequence[int], min_pages: int =
     counts: (page_key, ord, class_id, n).  Each round is one aggregation that
     returns one row; rounds are at most labels times min_pages.
     """
-    present = counts.where("n > 0")
+    present = stored(counts.where("n > 0"), "page-classes")  # read in each round
     known = {r[0] for r in present.where(F.col("class_id").isin(list(labels))).select("class_id").distinct().collect()}
     covered = dict.fromkeys(known, 0)
     chosen: list = []
@@ -108,7 +110,8 @@ def stratified(atoms: DataFrame, classes: DataFrame, labels: Sequence[int], frac
     holds only the atoms that floors take: labels times both floors at most.
     """
     labels = list(labels)
-    rows = classes.select("atom_id", "class_id").distinct().join(atoms, "atom_id")
+    atoms = stored(atoms, "atoms")
+    rows = stored(classes.select("atom_id", "class_id").distinct().join(atoms, "atom_id"), "atom-classes")
     frequency = {r[0]: r[1] for r in rows.where(F.col("class_id").isin(labels)).groupBy("class_id").count().collect()}
     taken: dict = {}
     _floors(rows, labels, frequency, "test", min_test, taken)

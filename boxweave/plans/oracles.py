@@ -199,6 +199,16 @@ FROM f WHERE crop_id IS NOT NULL AND x2 > x1 AND y2 > y1""",
 SELECT image_id, a_id, b_id, inter, total - inter AS union_area FROM p WHERE inter > 0""",
     "stitch_detections": f"""WITH RECURSIVE {_SCORED}, {d.CLASSES_SQL}, {_nms('lifted', 'image_id, class_id')}
 SELECT image_id, class_id, CASE WHEN class_id = 4 THEN '4' ELSE name END AS class_name, det_id, x1, y1, x2, y2, confidence FROM survivors {_NAMED} WHERE class_id <> 9""",
+    "infer_detections": f"""WITH {d.IMAGES_SQL}, {d.CLASSES_SQL}, {_grid(1280, 960)},
+r AS (SELECT *, (image_id * 37 + tile_x + i * 13) % 1000 AS x, (image_id * 53 + tile_y + i * 29) % 1000 AS y, (20 + (image_id + tile_x + tile_y + i * 17) % 61) / 100 AS confidence, CAST((image_id + i) % 2 AS INTEGER) AS class_id
+  FROM grid, range(3) v(i))
+SELECT image_id, class_id, name AS class_name, CAST(least(w - 1, x + tile_x) AS INTEGER) AS x1, CAST(least(h - 1, y + tile_y) AS INTEGER) AS y1,
+  CAST(least(w - 1, x + 100 + i * 40 + tile_x) AS INTEGER) AS x2, CAST(least(h - 1, y + 80 + i * 30 + tile_y) AS INTEGER) AS y2, confidence
+FROM r JOIN classes USING (class_id) WHERE confidence >= 0.25""",
+    "localized_records": """SELECT concat('img', s_suppkey) AS image, concat('img', s_suppkey, '-', i) AS crop_id, CAST(s_suppkey % 50 AS DOUBLE) AS x1, CAST(i AS DOUBLE) AS y1, CAST(s_suppkey % 50 + i * 5 AS DOUBLE) AS x2,
+  CAST(20 AS DOUBLE) AS y2, CAST(0.5 AS DOUBLE) AS confidence, CAST(0 AS INTEGER) AS class_id, 'tap' AS class_name FROM supplier, range(1, 3) v(i)""",
+    "tiles_touched": f"""WITH {d.BOXES_SQL}, {_grid(1280, 1280)} SELECT image_id, tile_x, tile_y, count(*) AS n FROM boxes JOIN grid USING (image_id)
+WHERE l_orderkey % 5 = 0 AND NOT (x2 < tile_x OR x1 > tile_x + 1280 OR y2 < tile_y OR y1 > tile_y + 1280) GROUP BY ALL""",
     "detection_lists": f"""WITH RECURSIVE {d.DETECTIONS_SQL}, {_nms('det', 'image_id, class_id')}
 SELECT image_id, count(*) AS num_detections, sha256(string_agg(concat_ws(':', CAST(class_id AS VARCHAR), CAST(x1 AS VARCHAR), CAST(y1 AS VARCHAR), CAST(x2 AS VARCHAR), CAST(y2 AS VARCHAR)), ',' ORDER BY det_id)) AS digest FROM survivors GROUP BY image_id""",
     "truth_pixel_boxes": f"""WITH {d.BOXES_SQL}, c AS (SELECT b.*, w, h, (x1 + x2) / 2 / w AS xc, (y1 + y2) / 2 / h AS yc, (bw0 + 60) / w AS nw, (bh0 + 31) / h AS nh FROM boxes b JOIN images USING (image_id))

@@ -205,6 +205,44 @@ def stitch_detections(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("image_id", "class_id", "class_name", "det_id", *_BOX, "confidence")
 
 
+def _stub_scorer(tiles):
+    """Three boxes a tile, by arithmetic."""
+    out = []
+    for t in tiles.itertuples():
+        found = []
+        for i in range(3):
+            x, y = (t.image_id * 37 + t.tile_x + i * 13) % 1000, (t.image_id * 53 + t.tile_y + i * 29) % 1000
+            found.append((x + 0.5, y + 0.25, x + 100.5 + i * 40, y + 80.75 + i * 30, (20 + (t.image_id + t.tile_x + t.tile_y + i * 17) % 61) / 100, int((t.image_id + i) % 2)))
+        out.append(found)
+    return out
+
+
+def infer_detections(spark: SparkSession, sf: str) -> DataFrame:
+    rows = detections.infer(d.images(spark, sf), _stub_scorer, d.classes(spark), SIZE, 0.25, 0.25, 4, 1.1)
+    return rows.select("image_id", "class_id", "class_name", *_BOX, "confidence")
+
+
+def localized_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A service's answers for images, normalised."""
+
+    def service(image: str) -> list:
+        k = int(image.removeprefix("img"))
+        return [{"ID": f"{image}-{i}", "x1": k % 50, "y1": i, "x2": k % 50 + i * 5, "y2": 20, "confidence": 0.5, "name": "tap"} for i in range(3)] + ["noise", None]
+
+    images = d.images(spark, sf).select(F.concat(F.lit("img"), "image_id").alias("image"))
+    rows = detections.normalize_records(detections.localize(images, service))
+    return rows.select("image", "crop_id", *_BOX, "confidence", "class_id", "class_name")
+
+
+def tiles_touched(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles that a box meets, a line being enough, against those that it falls into."""
+    grid = tiling.tile_grid(d.images(spark, sf), SIZE, 0.0)
+    near = d.boxes(spark, sf).where("l_orderkey % 5 = 0").join(grid, "image_id")
+    c = F.col
+    near = near.where(g.touches(c("x1"), c("y1"), c("x2"), c("y2"), c("tile_x"), c("tile_y"), SIZE))
+    return near.groupBy("image_id", "tile_x", "tile_y").agg(F.count("*").alias("n"))
+
+
 def detection_lists(spark: SparkSession, sf: str) -> DataFrame:
     rows = detections.per_image(nms.suppress(d.detections(spark, sf), ["image_id", "class_id"], 0.5), ["class_id", *_BOX])
     return rows.select("image_id", "num_detections", F.sha2(F.array_join(F.transform("detections", lambda r: F.concat_ws(":", *[r[c].cast("string") for c in ["class_id", *_BOX]])), ",").cast("binary"), 256).alias("digest"))
@@ -349,7 +387,7 @@ QUERIES = {
         tile_grid, tile_box_counts, tile_boxes_majority, tile_boxes_clip, lost_boxes, relabel_background, relabel_drop, label_space,
         missing_classes, class_counts, class_table, top_classes, split_summary, name_summary, filter_report, label_split_grid,
         parse_labels_strict, parse_labels_lenient, label_files, first_page_keys, source_geometry, tile_names, normalize_records,
-        nms_per_class, nms_agnostic, nms_by_rounds, iou_pairs, stitch_detections, detection_lists, truth_pixel_boxes, truth_and_predicted,
+        nms_per_class, nms_agnostic, nms_by_rounds, iou_pairs, stitch_detections, infer_detections, localized_records, tiles_touched, detection_lists, truth_pixel_boxes, truth_and_predicted,
         precision_recall, page_homogeneity, tile_page_rect, tile_overlap_pairs, tile_atoms, page_grouped_split, ungrouped_split,
         deployment_pages, stratified_assign, leakage_checks, page_splits, assignment_summary, split_instances, atom_histogram,
     )

@@ -27,14 +27,19 @@ def read_yaml(path: str | Path) -> dict[str, Any]:
     return parse_yaml(Path(path).expanduser().read_text())
 
 
-def label_space(config: dict[str, Any], classes_key: str = "irrigation_classes", policy_key: str = "non_irrigation_policy") -> LabelSpace:
-    """A label space from a configuration with a list of classes, class_groups,
-    class_descriptions and a policy."""
+def _ending(config: dict[str, Any], end: str, default: Any) -> Any:
+    """The value of the first key that ends so; configurations prefix theirs."""
+    return next((v for k, v in config.items() if str(k).endswith(end)), default)
+
+
+def label_space(config: dict[str, Any]) -> LabelSpace:
+    """A label space from a configuration with a list ``...classes``, class_groups,
+    class_descriptions and a ``...policy``."""
     return LabelSpace(
-        [str(c) for c in config.get(classes_key) or []],
+        [str(c) for c in _ending(config, "classes", None) or []],
         {str(k): [str(m) for m in v] for k, v in (config.get("class_groups") or {}).items()},
         {str(k): str(v) for k, v in (config.get("class_descriptions") or {}).items()},
-        config.get(policy_key, "background"),
+        _ending(config, "policy", "background"),
     )
 
 

@@ -53,6 +53,13 @@ def data_yaml(root: str, labels: list[str], has_valid: bool, has_test: bool) ->
     return yaml.safe_dump(data, sort_keys=False)
 
 
+def moved_data_yaml(text: str, root: str) -> str:
+    """A catalogue for a copy of its dataset at another place."""
+    import yaml
+
+    return yaml.safe_dump({**(yaml.safe_load(text) or {}), "path": root}, sort_keys=False)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file from the driver, to any store that Spark knows."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

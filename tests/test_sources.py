@@ -77,7 +77,7 @@ def test_data_yaml(spark, tmp_path):
 
 def test_config(tmp_path):
     assert config.parse_yaml("") == {}
-    space = config.label_space({"irrigation_classes": ["0038", 40], "class_groups": {"g": ["0038"]}})
+    space = config.label_space({"kept_classes": ["0038", 40], "class_groups": {"g": ["0038"]}, "other_policy": "background"})
     assert space.labels == ["g", "40", "__background__"]
     assert config.PrepareConfig.of({"seed": 7, "unknown": 1}).seed == 7
     with pytest.raises(ValueError):
