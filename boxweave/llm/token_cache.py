@@ -78,4 +78,6 @@ def count_tokens(docs: DataFrame, cache_path: str, model_path: str, *, text_col:
     encode(misses, model, tokenizer).write.mode("append").parquet(cache_path)
     rest = common.without(docs, ["n_bytes", "n_tokens", "content"])
     out = rest.withColumns({"n_bytes": F.octet_length(text).cast("long"), "content": digest})
-    return out.join(open_cache(spark, cache_path, tokenizer), "content", "left").drop("content")
+    # stored, so that the join has an exchange on either side and a hot digest can be split
+    counts = common.stored(open_cache(spark, cache_path, tokenizer), "counts")
+    return out.join(counts, "content", "left").drop("content")
