@@ -28,6 +28,13 @@ def yolo_line(class_id: str = "dst_id") -> F.Column:
     return F.format_string("%d %.6f %.6f %.6f %.6f", F.col(class_id), F.col("xc"), F.col("yc"), F.col("bw"), F.col("bh"))
 
 
+def tile_label_texts(tiles: DataFrame, boxes: DataFrame, class_id: str = "dst_id", order: str = "det_id") -> DataFrame:
+    """split, stem, text of a label file for every tile (split, tile_name), of the
+    boxes (split, tile_name, xc ... bh) that it keeps, in their order."""
+    lines = boxes.select("split", F.col("tile_name").alias("stem"), F.col(order).alias("line_no"), yolo_line(class_id).alias("line"))
+    return label_texts(tiles.select("split", F.col("tile_name").alias("stem")), lines)
+
+
 def export_label_files(texts: DataFrame, root: str) -> None:
     """Label files <root>/<split>/labels/<stem>.txt, where root is a folder that
     all executors share as a path of their file systems."""

@@ -68,6 +68,17 @@ def test_label_files(spark, root, tmp_path):
     assert (out / "train/labels/b.txt").read_text() == ""
 
 
+def test_tile_label_texts(spark):
+    tiles = spark.createDataFrame([("train", "a_slice_0_0"), ("test", "b_slice_0_0")], "split string, tile_name string")
+    boxes = spark.createDataFrame([("train", "a_slice_0_0", 2, 1, 0.5, 0.25, 0.1, 0.2), ("train", "a_slice_0_0", 1, 0, 1 / 3, 0.5, 0.1, 0.2)], "split string, tile_name string, det_id long, dst_id int, xc double, yc double, bw double, bh double")
+    got = {r.stem: r.text for r in sinks.tile_label_texts(tiles, boxes).collect()}
+    assert got == {"a_slice_0_0": "0 0.333333 0.500000 0.100000 0.200000\n1 0.500000 0.250000 0.100000 0.200000\n", "b_slice_0_0": ""}
+
+
+def test_moved_catalogue():
+    assert config.parse_yaml(sinks.moved_data_yaml("path: /a\nnames: [x]\n", "/b")) == {"path": "/b", "names": ["x"]}
+
+
 def test_data_yaml(spark, tmp_path):
     text = sinks.data_yaml("/x", ["a", "b"], False, True)
     assert config.parse_yaml(text) == {"path": "/x", "train": "train/images", "nc": 2, "names": ["a", "b"], "val": "test/images", "test": "test/images"}
