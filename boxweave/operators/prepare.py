@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as n
 from ..sources.config import PrepareConfig
+from ..storage import stored
 from . import atoms as a
 from . import labels as lb
 from . import splits as sp
@@ -25,7 +26,7 @@ def stratified(
     order = sp.hashed_order(F.col("key"), config.seed) if order is None else order
     geo = n.source_geometry(F.col("file_name"), F.col("w"), F.col("h"))
     placed = images.withColumn("_g", geo).select("image_id", "file_name", "w", "h", "_g.*")
-    kept = lb.relabel(boxes, lb.policy_table(classes, space), space)
+    kept = stored(lb.relabel(boxes, lb.policy_table(classes, space), space), "relabelled")
 
     counts = kept.join(placed.select("image_id", "page_key"), "image_id").groupBy("page_key", F.col("dst_id").alias("class_id")).agg(F.count("*").alias("n"))
     counts = counts.withColumn("key", F.col("page_key").cast("string")).withColumn("ord", order).drop("key")
@@ -39,7 +40,7 @@ def stratified(
     grid = grid.withColumn("tile_id", F.col("image_id").cast("long") * 1_000_000 + (F.col("tile_y") / step * 1000 + F.col("tile_x") / step).cast("long"))
     tiled = t.tile_boxes(kept, pool, config.tile_size, config.overlap, config.fit)
 
-    members = a.build_atoms(grid, pool).select("tile_id", "atom_id")
+    members = stored(a.build_atoms(grid, pool).select("tile_id", "atom_id"), "atoms")
     keyed = members.select("atom_id").distinct().withColumn("key", F.col("atom_id").cast("string")).withColumn("ord", order).drop("key")
     ids = grid.select("image_id", "tile_x", "tile_y", "tile_id")
     tile_classes = tiled.join(ids, ["image_id", "tile_x", "tile_y"]).groupBy("tile_id", F.col("dst_id").alias("class_id")).agg(F.count("*").alias("n"))

@@ -41,6 +41,8 @@ def test_nms_against_brute_force(spark, threshold):
     want = set().union(*(greedy([r for r in rows if r[0] == k], threshold) for k in (0, 1)))
     assert {r.det_id for r in nms.suppress(df, ["g"], threshold).collect()} == want
     assert {r.det_id for r in nms.suppress_large(df, ["g"], threshold, cell=32).collect()} == want
+    more = df.unionAll(spark.createDataFrame([(7, 1000, 0, 0, 9, 9, 0.5)], BOX))
+    assert {r.det_id for r in nms.suppress_any(more, ["g"], threshold, 10).collect()} == want | {1000}
 
 
 def test_nms_cases(spark):
