@@ -91,17 +91,22 @@ def mix(
     digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _ORDER_BITS // 4), 16, 10)
     sized = common.without(docs, RESULTS).withColumns({"size": size, "_order": digest.cast("long")})
     sized = sized.withColumn("_bucket", F.shiftright("_order", _ORDER_BITS - bits))
+    # a key that is never null, so that the window's partitioning serves the join too
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    sized = sized.withColumn("_key", key)
 
-    sums = sized.groupBy(F.col("source").alias("_source"), "_bucket").agg(F.sum("size").alias("_words"))
-    in_order = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one aggregation for both uses: the source's name is in the key
+    sums = sized.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"))
+    in_order = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_offset", F.coalesce(F.sum("_words").over(in_order), F.lit(0)))
-    whole = sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
-    goals = targets(whole, weights, share, epochs).withColumnRenamed("source", "_from")
-    places = offsets.join(goals, F.col("_source").eqNullSafe(F.col("_from"))).select("_source", F.col("_bucket").alias("_at"), "_offset", "source_size", "weight", "target")
+    whole = sums.groupBy("_key").agg(F.sum("_words").alias("source_size"))
+    named = whole.select(F.when(F.col("_key") != "", F.expr("substr(_key, 2)")).alias("source"), "source_size")
+    goals = targets(named, weights, share, epochs).withColumn("_key", key).drop("source")
+    places = offsets.drop("_words").join(goals, "_key")
 
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(places, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_at")))
+    placed = placed.join(places, ["_key", "_bucket"])
 
     before = F.col("_before") + F.col("_offset")
     goal = F.least(F.floor(F.col("target") + F.lit(0.5)), F.col("source_size") * epochs)
