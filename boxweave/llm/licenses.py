@@ -5,7 +5,9 @@ digits, and compared as sets of word bigrams.  The units compared are the lines
 of a text, its paragraphs (between blank lines) and the whole text, so that a notice is
 found inside a longer document as well as alone.  Sizes bound the coefficient: a
 template whose set is too large or too small for a unit is never counted
-against it.  Bigrams meet those of the templates in one hash join; the templates
+against it.  A unit at the threshold lacks so few of a template's bigrams that it
+must have one of a few telling words (``required_words``); texts and units without
+any are left out before they are cut into words.  Bigrams meet those of the templates in one hash join; the templates
 are the fixed list TEMPLATES (or a list given instead), whose bigrams are
 broadcast only while there are at most MAX_BROADCAST of them.
 
@@ -17,11 +19,16 @@ give no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 MAX_BROADCAST = 100_000
+#: Telling words are looked for as one pattern only while there are so many at most.
+MAX_WORDS = 500
 
 # Short notices and full texts of public licences.
 TEMPLATES = [
@@ -45,6 +52,9 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 ]
 
+# Words too common to tell anything; only the speed of a scan depends on them.
+COMMON = frozenset("a all an and any as be by for from general is it may of on or source subject that the this to under version with work you".split())
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,6 +78,38 @@ def templates(spark: SparkSession, given: list[tuple[str, str]] | None = None, t
     return df.select("template", "license_id", size.alias("size"), low.alias("low"), high.alias("high"), F.explode("grams").alias("gram"))
 
 
+def _plain_words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
+def required_words(given: list[tuple[str, str]], threshold: float = THRESHOLD) -> set[str]:
+    """Words of which a unit has at least one if a template matches it.
+
+    With b bigrams, a template shares at least threshold * (low + b) / 2 of them
+    with a unit that it matches; words that touch more bigrams than may then be
+    lacking can't all be absent.  Long words that touch many are taken first, and
+    common ones last.
+    """
+    out: set[str] = set()
+    for _, text in given:
+        w = _plain_words(text)
+        left = set(zip(w, w[1:], strict=False))
+        b = len(left)
+        low = ceil(b * threshold / (2 - threshold) - 1e-9)
+        need = b - ceil(threshold * (low + b) / 2 - 1e-9) + 1
+        touched = 0
+        while touched < need:
+            best = max(sorted({x for pair in left for x in pair}), key=lambda x: min(sum(x in p for p in left), need - touched) * len(x) ** 2 / (1000 if x in COMMON else 1))
+            hit = {p for p in left if best in p}
+            touched, left = touched + len(hit), left - hit
+            out.add(best)
+    return out
+
+
+def telling(text: Column, needed: set[str]) -> Column:
+    return text.rlike(f"(?i)(?<![A-Za-z0-9])(?:{'|'.join(sorted(needed))})(?![A-Za-z0-9])")
+
+
 def units(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """doc_id, unit (its place in the list lines, paragraphs, whole) and unit_text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -83,7 +125,12 @@ def scan(docs: DataFrame, *, given: list[tuple[str, str]] | None = None, thresho
     bounds = grams.agg(F.min("low"), F.max("high"), F.count("*")).first()
     if not bounds[2]:
         return spark.createDataFrame([], "doc_id long, unit int, license_id string, dice double")
-    made = units(docs, text_col).withColumn("w", words(F.col("unit_text")))
+    needed = required_words(given if given is not None else TEMPLATES, threshold)
+    if len(needed) <= MAX_WORDS:
+        made = units(docs.where(telling(F.col(text_col).cast("string"), needed)), text_col).where(telling(F.col("unit_text"), needed))
+    else:
+        made = units(docs, text_col)
+    made = made.withColumn("w", words(F.col("unit_text")))
     # repeats only make a set smaller, so few words rule a unit out at once
     made = made.where(F.size("w") > F.lit(int(bounds[0]))).withColumn("g", bigrams(F.col("w")))
     made = made.where(F.size("g").between(int(bounds[0]), int(bounds[1])))
