@@ -204,8 +204,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha1("payload"))
     repeated = base.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    repeated = common.stored(repeated.drop("n"), "repeated")  # so that a hot payload's rows can be split in the join
     refers = F.when(F.coalesce(F.col("page_id") < F.col("first_id"), F.col("first_id").isNotNull()), F.col("first_id"))
-    return base.join(repeated.drop("n"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    return base.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
 def write_packages(pages: DataFrame) -> DataFrame:
