@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-#: Payload bytes of a package, unless one page is longer.
-PACKAGE_BYTES = 8 << 20
+#: Payload bytes of a package, unless one page is longer, and its records at most.
+PACKAGE_BYTES, PACKAGE_RECORDS = 8 << 20, 20_000
 #: A fixed time, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -228,7 +228,7 @@ def write_packages(pages: DataFrame) -> DataFrame:
                 data = record(page_id, url, payload, b32, refers_to, refers_to is not None)
                 held.append((url or "", b32, data))
                 size += len(payload)
-                if size >= PACKAGE_BYTES:
+                if size >= PACKAGE_BYTES or len(held) >= PACKAGE_RECORDS:
                     yield flush()
                     held, size = [], 0
         if held:
