@@ -11,7 +11,7 @@ document's place in the stream is its training position.  A stream that is used
 up starts again, up to the target; the last document taken may be taken in part.
 
 Running sums are taken within buckets of a source's stream, whose number follows
-the rows, so that no task gets all of a source.
+the source's rows, so that no task gets all of a source.
 
 A null text has size 0; documents of size 0 and empty sources take nothing and
 have no position; a null doc_id is ordered as the empty text.  Repeated rows are
@@ -20,8 +20,6 @@ each a document.  Columns of the input with the names of the results are replace
 
 from __future__ import annotations
 
-from math import ceil, log2
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +30,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS = 1.5, 2
 #: By weight: knots (time, level) of the schedule; its integral is scaled to the target.
 SCHEDULES = {5: ((0.0, 1.5), (1.0, 0.5)), 2: ((0.0, 1.0), (1.0, 1.0)), 1: ((0.0, 0.5), (1.0, 1.5))}
-#: Rows of a bucket of the stream, all sources together.
-BUCKET_ROWS = 2048
+#: Rows of a bucket of a source's stream, about; a source has as many as it needs.
+BUCKET_ROWS = 1024
 RESULTS = ["size", "source_size", "target", "taken", "position", "placements"]
 _ORDER_BITS = 60
 
@@ -80,20 +78,21 @@ def position_of(part: Column, knots: tuple[tuple[float, float], ...]) -> Column:
 
 def mix(
     docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS,
-    schedules: dict | None = None, text_col: str = "text", n_rows: int | None = None,
+    schedules: dict | None = None, text_col: str = "text", bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """``docs`` with RESULTS; placements: (pass, words, position) of each time
     that the mix takes a document, position: the first of them or null."""
     schedules = schedules or SCHEDULES
-    n_rows = docs.count() if n_rows is None else n_rows
-    bits = max(0, ceil(log2(max(1, n_rows) / BUCKET_ROWS)))
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _ORDER_BITS // 4), 16, 10)
-    sized = common.without(docs, RESULTS).withColumns({"size": size, "_order": digest.cast("long")})
-    sized = sized.withColumn("_bucket", F.shiftright("_order", _ORDER_BITS - bits))
     # a key that is never null, so that the window's partitioning serves the join too
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = sized.withColumn("_key", key)
+    # a row a source: small, so that Spark sends it to all tasks while it is
+    rows = common.stored(docs.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_n")), "sources")
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / bucket_rows))).cast("int")
+    sized = common.without(docs, RESULTS).withColumns({"size": size, "_order": digest.cast("long"), "_key": key})
+    sized = sized.join(rows.select("_key", bits.alias("_bits")), "_key")
+    sized = sized.withColumn("_bucket", F.expr(f"shiftright(_order, {_ORDER_BITS} - _bits)")).drop("_bits")
 
     # one aggregation for both uses: the source's name is in the key
     sums = sized.groupBy("_key", "_bucket").agg(F.sum("size").alias("_words"))

@@ -360,7 +360,7 @@ def test_mixture(spark, seed):
     rows = [(i, prose(rng, rng.choice([0, 1, 5, 60]) if s != "empty" else 0), s) for i, s in enumerate(rng.choices(sources, [40, 5, 3, 20, 9, 2, 2], k=500))]
     rows += [(1000, None, "a"), (None, "x y", "b"), (1001, "x" * 100_000, "b"), (5, rows[5][1], rows[5][2])]
     df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, source string, position double")
-    got = mixture.mix(df, n_rows=500_000).collect()
+    got = mixture.mix(df, bucket_rows=3).collect()
     sizes = {}
     for _, t, s in rows:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
@@ -373,7 +373,7 @@ def test_mixture(spark, seed):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
     key = lambda rs: sorted((str(r.doc_id), r.taken, r.position or -1) for r in rs)
-    assert key(got) == key(mixture.mix(df.repartition(3), n_rows=10).collect())
+    assert key(got) == key(mixture.mix(df.repartition(3)).collect())
 
 
 def test_mixture_odd(spark):
@@ -489,6 +489,18 @@ def test_repeated_passages(spark):
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_near_repeats_are_found(spark):
+    rng, rows = random.Random(1), []
+    for k, (n, changes) in enumerate([(60, 1), (100, 2), (150, 3), (200, 4)] * 15):
+        p = prose(rng, n, 10**6).split()
+        q = list(p)
+        for i in rng.sample(range(5, n - 5), changes):
+            q[i] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * k + j, f"{prose(rng, rng.randrange(80), 10**6)} {' '.join(x)} {prose(rng, rng.randrange(80), 10**6)}") for j, x in enumerate((p, q))]
+    got = {r.doc_id for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 0.97 * len(rows)
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
