@@ -81,6 +81,15 @@ def deployment_pages(counts: DataFrame, labels: Sequence[int], min_pages: int =
     return chosen
 
 
+def uncovered_labels(counts: DataFrame, labels: Sequence[int], pages: DataFrame, min_pages: int = 1) -> DataFrame:
+    """(class_id, n_pages) of the labels that fewer than min_pages of the chosen
+    pages hold, whether or not the data has them at all."""
+    wanted = counts.sparkSession.createDataFrame([(c,) for c in labels], "class_id int")
+    held = counts.where("n > 0").join(pages.select("page_key").distinct(), "page_key", "left_semi")
+    have = held.groupBy("class_id").agg(F.countDistinct("page_key").alias("n_pages"))
+    return wanted.join(have, "class_id", "left").na.fill(0, ["n_pages"]).where(F.col("n_pages") < min_pages)
+
+
 def _floors(classes: DataFrame, labels: Sequence[int], frequency: dict, target: str, floor: int, taken: dict) -> None:
     """Give the target its least number of atoms of each label, rare labels first.
     classes: (atom_id, ord, class_id); taken: atom_id to (split, labels)."""

@@ -39,6 +39,11 @@ def leaks(tiles: DataFrame, deployment: DataFrame, expected: DataFrame | None =
     return out
 
 
+def name_collisions(tiles: DataFrame) -> DataFrame:
+    """Tile names that more than one tile has: one would overwrite the other."""
+    return tiles.groupBy("tile_name").agg(F.countDistinct("tile_id").alias("n_tiles"), F.countDistinct("split").alias("n_splits")).where("n_tiles > 1")
+
+
 def verify(tiles: DataFrame, deployment: DataFrame, **options) -> None:
     """Raise AssertionError if there is a leak."""
     found = [f"{r['check']}: {r['n']}" for r in leaks(tiles, deployment, **options).where("n > 0").collect()]

@@ -169,6 +169,8 @@ SELECT split, label_id, label, coalesce(n, 0) AS n FROM spaces CROSS JOIN (VALUE
     "parse_labels_strict": rf"""WITH {d.LINES_SQL}, {_PARSED}, s AS (SELECT *, regexp_split_to_array(t, '\s+') AS k FROM parsed WHERE l_orderkey % 17 <> 2)
 SELECT {_LINE_KEY}, CAST(k[1] AS INTEGER) AS class_id, CAST(k[2] AS DOUBLE) AS xc, CAST(k[3] AS DOUBLE) AS yc, CAST(k[4] AS DOUBLE) AS bw, CAST(k[5] AS DOUBLE) AS bh FROM s WHERE len(k) = 5""",
     "parse_labels_lenient": f"WITH {_LENIENT} SELECT {_LINE_KEY}, class_id, rest FROM lenient",
+    "label_line_counts": rf"""WITH {d.LINES_SQL}, {_PARSED} SELECT l_suppkey, count(*) AS n_lines, count(*) FILTER (regexp_matches(t, '^\S+(\s+\S+){{4}}$')) AS n_strict,
+  count(*) FILTER (regexp_matches(t, '^[+-]?[0-9]+\s+\S')) AS n_lenient FROM parsed WHERE l_orderkey % 17 <> 2 GROUP BY l_suppkey""",
     "label_files": f"""WITH {_LENIENT}, {d.IMAGES_SQL}, {_space_sql()},
 f AS (SELECT l_suppkey, string_agg(concat_ws(' ', CAST(dst_id AS VARCHAR), rest), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, rest, concat_ws(' ', CAST(dst_id AS VARCHAR), rest)) || chr(10) AS text
   FROM lenient JOIN pol ON class_id = src_id WHERE l_suppkey % 6 <> 0 GROUP BY l_suppkey)
@@ -235,6 +237,11 @@ SELECT concat('img', image_id) AS name, page_key, CASE WHEN ahead < (SELECT roun
     "ungrouped_split": """WITH f AS (SELECT concat('img', s_suppkey) AS name, row_number() OVER (ORDER BY (s_suppkey * 7919 + 13) % 1009, concat('img', s_suppkey)) AS rn FROM supplier)
 SELECT name, CASE WHEN rn <= (SELECT round_even(count(*) * CAST(0.15 AS DOUBLE), 0) FROM f) THEN 'valid' ELSE 'train' END AS split FROM f""",
     "deployment_pages": _set_cover(4),
+    "uncovered_labels": f"""WITH {d.BOXES_SQL}, counts AS (SELECT image_id // 4 AS page_key, class_id FROM boxes WHERE l_orderkey % 101 < 4 GROUP BY ALL HAVING count(*) > 1),
+w AS (SELECT CAST(i AS INTEGER) AS class_id FROM (SELECT unnest(range(0, 25, 3)) AS i UNION ALL SELECT 99)),
+h AS (SELECT class_id, (SELECT count(DISTINCT page_key) FROM counts c WHERE c.class_id = w.class_id AND page_key % 6 = 0) AS n_pages FROM w)
+SELECT class_id, n_pages FROM h WHERE n_pages < 3""",
+    "tile_name_collisions": f"WITH {_DEALT} SELECT tile_name, count(DISTINCT tile_id) AS n_tiles, count(DISTINCT split) AS n_splits FROM dealt GROUP BY tile_name HAVING count(DISTINCT tile_id) > 1",
     "stratified_assign": f"{_assign()} SELECT atom_id, split FROM assigned",
     "leakage_checks": f"""WITH {_DEALT}, {_EDGES},
 w AS (SELECT count(*) AS n FROM dealt WHERE page_key % 2 = 0 AND split <> 'train'), h AS (SELECT count(*) AS n FROM dealt WHERE page_key % 10 = 0),

@@ -132,6 +132,14 @@ def parse_labels_lenient(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*_LINE_KEY, "l.*")
 
 
+def label_line_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each scan makes of an image's lines: they differ for lines of more or
+    fewer than five tokens."""
+    rows = d.label_lines(spark, sf).where("l_orderkey % 17 <> 2")
+    strict, lenient = n.strict_label(F.col("line")).isNotNull(), n.lenient_label(F.col("line")).isNotNull()
+    return rows.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_if(strict).alias("n_strict"), F.count_if(lenient).alias("n_lenient"))
+
+
 def label_files(spark: SparkSession, sf: str) -> DataFrame:
     """Relabelled label files of all images, empty ones too."""
     rows = d.label_lines(spark, sf).withColumn("l", n.lenient_label(F.col("line"))).where("l IS NOT NULL")
@@ -326,6 +334,12 @@ def deployment_pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, k) for i, k in enumerate(pages)], "position int, page_key long")
 
 
+def uncovered_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels that pages chosen by arithmetic hold fewer than 3 times."""
+    counts = _page_classes(spark, sf).where("n > 1")
+    return splits.uncovered_labels(counts, [*range(0, 25, 3), 99], counts.where("page_key % 6 = 0"), 3)
+
+
 ASSIGN_LABELS, ASSIGN_FLOORS = [0, 7, 11], (2, 1)
 _ORD = "({} * 7919 + 13) % 1000003"
 
@@ -364,6 +378,10 @@ def leakage_checks(spark: SparkSession, sf: str) -> DataFrame:
     return verify.leaks(tiles, held, asked)
 
 
+def tile_name_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    return verify.name_collisions(_dealt(spark, sf))
+
+
 def page_splits(spark: SparkSession, sf: str) -> DataFrame:
     return verify.page_splits(_dealt(spark, sf))
 
@@ -386,9 +404,9 @@ QUERIES = {
     for f in (
         tile_grid, tile_box_counts, tile_boxes_majority, tile_boxes_clip, lost_boxes, relabel_background, relabel_drop, label_space,
         missing_classes, class_counts, class_table, top_classes, split_summary, name_summary, filter_report, label_split_grid,
-        parse_labels_strict, parse_labels_lenient, label_files, first_page_keys, source_geometry, tile_names, normalize_records,
+        parse_labels_strict, parse_labels_lenient, label_line_counts, label_files, first_page_keys, source_geometry, tile_names, normalize_records,
         nms_per_class, nms_agnostic, nms_by_rounds, iou_pairs, stitch_detections, infer_detections, localized_records, tiles_touched, detection_lists, truth_pixel_boxes, truth_and_predicted,
         precision_recall, page_homogeneity, tile_page_rect, tile_overlap_pairs, tile_atoms, page_grouped_split, ungrouped_split,
-        deployment_pages, stratified_assign, leakage_checks, page_splits, assignment_summary, split_instances, atom_histogram,
+        deployment_pages, uncovered_labels, stratified_assign, leakage_checks, tile_name_collisions, page_splits, assignment_summary, split_instances, atom_histogram,
     )
 }
