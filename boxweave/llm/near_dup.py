@@ -188,7 +188,7 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done:
 
 def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs``."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = common.stored(common.annotate(narrow, "text", lambda col, _: sign(col, shingle), FIELDS).drop("text"), "signatures")
 
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -270,6 +270,17 @@ def test_near_duplicates_odd(spark):
     assert near_dup.groups(docs.limit(0)).count() == 0 and near_dup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    long = prose(rng, 90, 10**6)
+    rows = [(1, long), (1, None), (2, long + " x"), (2, "short"), (3, edited(rng, long, 1)), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.groups(df, shingle=2).collect() if r.n_shingles > 1} == {(1, 1), (2, 1), (3, 1)}
+    assert [r.doc_id for r in near_dup.deduplicate(df).collect()].count(1) == 1
+    assert {r.doc_id for r in passages.repeats(df).collect()} == {1, 2, 3}
+    assert sorted(str(r.doc_id) for r in passages.remove_repeats(df).collect()) == ["1", "1", "2", "2", "3", "3"]
+
+
 def test_estimate_is_corrected():
     rng = random.Random(2)
     a, b = prose(rng, 400, 10**6), None
