@@ -500,6 +500,31 @@ def test_repeated_passages(spark):
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_every_exact_repeat_is_in_a_span(spark):
+    rng, texts = random.Random(11), {}
+    for article in range(250):
+        words = prose(rng, 140, 10**6).split()
+        cuts = [(0, 70), (0, 75), (22, 75)] if article < 80 else [(s := rng.randrange(80), s + rng.randrange(50, 61)) for _ in range(7)]
+        for s, e in cuts:
+            around = [prose(rng, rng.choice([0, 3, 30]), 10**6) for _ in range(2)]
+            texts[len(texts)] = f"{around[0]} {' '.join(words[s:e])} {around[1]}".split()
+    for _ in range(60):  # a teaser, then the body, which has the teaser's words again
+        words = prose(rng, 90, 10**6).split()
+        texts[len(texts)] = words[20:60] + prose(rng, 5, 10**6).split() + words
+        texts[len(texts)] = prose(rng, 9, 10**6).split() + words[rng.randrange(15) : 80]
+    holders = {}
+    for k, words in texts.items():
+        for i in range(len(words) - 49):
+            holders.setdefault(tuple(words[i : i + 50]), set()).add((k, i))
+    want = {at for found in holders.values() if len({k for k, _ in found}) > 1 for at in found}
+    df = spark.createDataFrame([(k, " ".join(words)) for k, words in texts.items()], "doc_id long, text string")
+    spans = {}
+    for r in passages.repeats(df).collect():
+        spans.setdefault(r.doc_id, []).append((r.start, r.end))
+    lost = [(k, i) for k, i in want if not any(s <= i and i + 50 <= e for s, e in spans.get(k, []))]
+    assert want and not lost, (len(lost), len(want), len({k for k, _ in lost if k not in spans}))
+
+
 def test_near_repeats_are_found(spark):
     rng, rows = random.Random(1), []
     for k, (n, changes) in enumerate([(60, 1), (100, 2), (150, 3), (200, 4)] * 15):
