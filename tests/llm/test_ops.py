@@ -525,6 +525,22 @@ def test_every_exact_repeat_is_in_a_span(spark):
     assert want and not lost, (len(lost), len(want), len({k for k, _ in lost if k not in spans}))
 
 
+def test_a_key_holds_its_widest_window():
+    rng = random.Random(5)
+    for _ in range(20):
+        body = prose(rng, 90, 10**6).split()
+        words = body[20:60] + prose(rng, 5, 10**6).split() + body
+        col = pa.array([" ".join(words)])
+        hashes = common.Words(col, common.BLANKS).hashes()
+        small, long = common.grams(hashes, passages.SHINGLE), common.grams(hashes, passages.SHINGLE + passages.CONTEXT)
+        places = {p["key"] % (1 << 64): p["place"] for p in passages._windows(col)[-1].to_pylist()[0]}
+        for salt in passages._SALTS:
+            for a, k, b in passages.compact_windows(common.mix(small ^ salt), passages.WIDTH):
+                if k < len(long):
+                    place = places[int(long[k])]
+                    assert place >> 16 & 0xFFFF >= k - a and place & 0xFFFF >= b - k - 1
+
+
 def test_near_repeats_are_found(spark):
     rng, rows = random.Random(1), []
     for k, (n, changes) in enumerate([(60, 1), (100, 2), (150, 3), (200, 4)] * 15):
