@@ -30,7 +30,7 @@ MAX_BROADCAST = 100_000
 #: Telling words are looked for as one pattern only while there are so many at most.
 MAX_WORDS = 500
 
-# Short notices and full texts of public licences.
+# Short notices and first paragraphs of public licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
