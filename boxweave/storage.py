@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share."""
+"""Tables and files in the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -26,10 +26,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's (file system, path) of a path, on the driver."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    nothing is lost with an executor."""
+    nothing is lost with an executor.  The table goes when the application ends,
+    or with ``discard``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = own_path(spark, name)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` which nothing reads any more: all that was made
+    of them is stored itself."""
+    for t in tables:
+        remove(t.sparkSession, t._stored_at)
