@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_dir, stored  # noqa: F401
+from ..storage import discard, file_system, own_path, remove, shared_dir, stored  # noqa: F401
 
 #: Bytes of text that a numpy kernel sees at once, unless one text is longer.
 PIECE_BYTES = 1 << 20
@@ -32,9 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches which this session hands to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches which this session hands to Python workers.
+
+    Spark reads these two settings of the session when a plan runs, so they are
+    left at the bound; smaller values that are set already stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df``, stored, with a number ``uid`` of each row: fixed once it is written,
+    so that rows which share an id, or have none, are told apart."""
+    return stored(df.withColumn("uid", F.monotonically_increasing_id()), name)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:

@@ -12,7 +12,7 @@ shingles) bounds a pair from the other side without error: two sets differ in at
 least as many shingles as their sketches do in bits.
 
 Equal word sequences are one node.  In a bucket (documents of one band value)
-nobody makes all pairs: first each member is compared with the bucket's least id.
+nobody makes all pairs: first each member is compared with the bucket's first one.
 After components are found, only members of a bucket that are in another component
 than most of it are compared with the others there, by signatures and sketches
 within the join's condition; a pair is made only where both leave a link possible,
@@ -21,9 +21,15 @@ either confirmed, refuted, or within a component, but for those whose estimate i
 over five standard deviations too low.  At similarity 0.8 a pair shares no bucket
 with a chance of (1 - 0.8 ** BAND) ** BANDS, 5e-8.
 
-A null or empty text, or one of blanks, has no shingles, is linked with nothing
-and stays.  A null doc_id is in no group either.  Rows that share a doc_id count
-as one document; ties go to the least id.  Columns of the input with the names of
+A large bucket is dealt into blocks of some BLOCK members, and each two blocks meet
+under a key of their own: the work of a key is bounded, whatever a bucket holds.
+Many documents that share a bucket and are all just too far apart still are
+compared one by one, BLOCK by BLOCK; only their number of keys grows.
+
+Each row is a document; rows that share a doc_id are told apart.  A null or empty
+text, or one of blanks, has no shingles, is linked with nothing and stays.  A null
+doc_id counts as larger than all others.  doc_id is a whole number: another one is
+an error.  An empty table gives no rows.  Columns of the input with the names of
 the results are replaced.
 """
 
@@ -47,6 +53,8 @@ HASHES = BAND * BANDS
 SLACK = 5.2
 #: Cells of a parity sketch.
 PARITY = 2048
+#: Members of a bucket's block, about.
+BLOCK = 4096
 
 _WORDS = HASHES // 64
 PLANES = [f"s{i}" for i in range(BITS * _WORDS)]
@@ -145,10 +153,11 @@ def shingles(text: str, n: int) -> set:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked) of (a, b), on full sets.  Texts are joined to b first, so
-    that the text of an a with many partners is met in one place only."""
-    ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    """(a, b, linked) of distinct (a, b), on full sets of texts (uid, text).  Texts
+    are joined to b first, so that the text of an a with many partners is met in
+    one place only."""
+    ta = texts.select(F.col("uid").alias("a"), F.col("text").alias("ta"))
+    tb = texts.select(F.col("uid").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,20 +172,27 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                 linked.append(bool(other) and 100 * common_size >= percent * (len(own) + len(other) - common_size))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs of different components that share a bucket and may pass, less those
     that are done.  One of a pair is outside the component that holds most of the
     bucket."""
     now = members.join(labels, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     per = now.groupBy("band", "component_id").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("band").agg(F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    mixed = per.groupBy("band").agg(
+        F.max_by("component_id", F.struct("n", "component_id")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("all"), F.max("n").alias("most")
+    ).where("k > 1")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    mixed = mixed.select("band", "main", blocks(F.col("all") - F.col("most")).alias("x_blocks"), blocks(F.col("all")).alias("y_blocks"))
     inside = now.join(mixed, "band").join(nodes, "id")
-    side = lambda name: inside.select("band", "main", F.struct("id", "component_id", "n_shingles", *SKETCH).alias(name))
-    stray = side("x").where("x.component_id <> main").drop("main")
-    pairs = stray.join(side("y"), "band").where(
+    slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    body = F.struct("id", "component_id", "n_shingles", *SKETCH)
+    stray = inside.where("component_id <> main").select("band", slot("x_blocks").alias("xs"), every("y_blocks").alias("ys"), body.alias("x"))
+    other = inside.select("band", "main", every("x_blocks").alias("xs"), slot("y_blocks").alias("ys"), body.alias("y"))
+    pairs = stray.join(other, ["band", "xs", "ys"]).where(
         (F.col("x.component_id") != F.col("y.component_id"))
         & ((F.col("y.component_id") == F.col("main")) | (F.col("x.id") < F.col("y.id")))
         & may_pass("x", "y", percent)
@@ -186,14 +202,23 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done:
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
-def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs``."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = common.stored(common.annotate(narrow, "text", lambda col, _: sign(col, shingle), FIELDS).drop("text"), "signatures")
+def _signed(rows: DataFrame, shingle: int, leave: list[str]) -> DataFrame:
+    return common.stored(common.annotate(rows, "text", lambda col, _: sign(col, shingle), FIELDS).drop(*leave), "signatures")
+
 
-    usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "n_shingles", *SKETCH, "bands")).alias("r"))
-    reps = classes.select("d0", "d1", F.col("r.doc_id").alias("id"), "r.n_shingles", *[f"r.{p}" for p in SKETCH], "r.bands")
+def _labelled(docs: DataFrame, shingle: int, percent: int, text_col: str, block: int, rows: DataFrame | None = None) -> DataFrame:
+    """uid, doc_id, n_shingles, component_id (the least doc_id of a row's component),
+    first (its row that stays: the least doc_id's, then the least uid) of each row."""
+    if rows is None:  # numbered as they are signed, so that they are written once
+        narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        signed = rows = _signed(narrow.withColumn("uid", F.monotonically_increasing_id()), shingle, [])
+    else:
+        signed = _signed(rows, shingle, ["text"])
+
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    usable = signed.where("n_shingles > 0")
+    classes = usable.groupBy("d0", "d1").agg(F.min(F.struct(order.alias("o"), "n_shingles", *SKETCH, "bands")).alias("r"))
+    reps = classes.select("d0", "d1", F.col("r.o.uid").alias("id"), F.col("r.o").alias("o"), "r.n_shingles", *[f"r.{p}" for p in SKETCH], "r.bands")
     reps = common.stored(reps, "classes")
     nodes = reps.select("id", "n_shingles", *SKETCH)
 
@@ -204,27 +229,42 @@ def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, t
     star = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     side = lambda name, key: nodes.select(F.col("id").alias(key), F.struct("n_shingles", *SKETCH).alias(name))
     star = star.join(side("x", "a"), "a").join(side("y", "b"), "b").where(may_pass("x", "y", percent)).select("a", "b").distinct()
-    texts = common.stored(narrow.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    texts = rows.select("uid", "text").join(members.select(F.col("id").alias("uid")).distinct(), "uid", "left_semi")
+    texts = common.stored(texts, "texts")
 
     done = common.stored(confirm(star, texts, shingle, percent), "links")
     labels = common.stored(connected(done.where("linked")), "labels")
-    members = members.drop("pivot")
-    pairs = common.stored(_cross_pairs(members, labels, nodes, done, percent), "pairs")
-    found = common.stored(confirm(pairs, texts, shingle, percent), "links")
-    if not found.where("linked").isEmpty():
-        ties = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(found.where("linked").select("a", "b"))
+    pairs = common.stored(_cross_pairs(members.drop("pivot"), labels, nodes, done, percent, block), "pairs")
+    common.discard(members)
+    found = common.stored(confirm(pairs, texts, shingle, percent).where("linked"), "links")
+    common.discard(texts, pairs, done)
+    if not found.isEmpty():
+        ties = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(found.select("a", "b"))
         labels = common.stored(connected(ties), "labels")
 
-    of_class = reps.join(labels, "id", "left").select("d0", "d1", F.coalesce("component_id", "id").alias("component_id"))
-    out = signed.join(of_class, ["d0", "d1"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    tied = reps.select("d0", "d1", "id", "o").join(labels, "id", "left").withColumn("node", F.coalesce("component_id", "id"))
+    least = tied.groupBy("node").agg(F.min("o").alias("first"))
+    of_class = common.stored(tied.join(least, "node").select("d0", "d1", "first"), "components")
+    common.discard(reps)
+    out = signed.select("uid", "doc_id", "n_shingles", "d0", "d1").join(of_class, ["d0", "d1"], "left")
+    alone = F.col("n_shingles") == 0
+    return out.select(
+        "uid", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
+        F.when(alone, F.col("uid")).otherwise(F.col("first.uid")).alias("first"),
+    )
 
 
-def deduplicate(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text") -> DataFrame:
-    """One document of each group, the least id, with its own columns; of rows
-    that share a doc_id, one."""
-    kept = groups(docs, shingle=shingle, percent=percent, text_col=text_col).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*[f"`{c}`" for c in docs.columns]).unionAll(docs.where(F.col("doc_id").isNull()))
+def groups(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs``."""
+    out = _labelled(docs, shingle, percent, text_col, block)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row of each group, with its own columns: that of the least doc_id, of
+    several with it the first in the table."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    rows = common.numbered(docs.withColumnsRenamed(own), "rows")
+    narrow = rows.select(F.col(own["doc_id"]).cast("long").alias("doc_id"), F.coalesce(F.col(own[text_col]), F.lit("")).alias("text"), "uid")
+    kept = _labelled(docs, shingle, percent, text_col, block, narrow).where("uid = first").select("uid")
+    return rows.join(kept, "uid", "left_semi").select(*[F.col(own[c]).alias(c) for c in docs.columns])
