@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +17,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    packed = telephony.pack(docs).select("doc_id", "n_bytes", "codec", "media")
-    back = telephony.read_back(common.stored(packed, "media"))
-    return back.select("doc_id", "n_bytes", *[f.name for f in telephony.READ_FIELDS], "codec")
+    packed = common.stored(telephony.pack(docs).select("doc_id", "n_bytes", "codec", "media"), "media")
+    sound = common.stored(telephony.read_back(packed, out_rate=telephony.STORED_RATE).drop("media"), "pcm")
+    common.discard(packed)
+    return telephony.features(sound).drop("pcm")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +61,8 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = common.stored(warc.write_packages(common.table(spark, sf_dir, "pages")), "packages")
-    read = warc.read_packages(packages, payloads=False)
+    catalogue = warc.write_packages(common.table(spark, sf_dir, "pages"), common.own_path(spark, "packages"))
+    read = warc.read_packages(catalogue, payloads=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -74,7 +73,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    cache = f"{common.shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    # one cache for all runs that share the folder: the next one finds these counts
+    cache = f"{common.shared_dir(spark)}/token-cache"
     counted = token_cache.count_tokens(docs, cache, str(public_tokenizers.path("piece_bpe_32k.model")))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 

@@ -6,14 +6,18 @@ place.  The reader parses the end-of-directory records, ZIP64 ones included, and
 the central directory, finds where a member's bytes begin, and reads single
 records by range: nothing is extracted.
 
-Packages are rows (name, content) of a table in the shared store, so that any
-store which Spark reads will do; ``PackageReader`` takes any function that reads a
-range, so that it serves files too.
+Packages are files in a folder of the shared store, written by the tasks which make
+them and listed in a catalogue (path, n_records, n_bytes).  A file is written under
+another name and then renamed; what an attempt that was lost leaves isn't listed and
+goes with the folder.  The reader opens a listed file, seeks and reads: the directory,
+the index, and each record.  ``PackageReader`` takes any function that reads a range.
 
 Payloads which are equal are written once: the row of the largest page_id is a
 response, the others are revisits that refer to it.  A null html is an empty
 payload; a null page_id counts as the smallest; rows that repeat the largest
-page_id are all responses.  An empty table gives no packages.
+page_id are all responses; page_id is a whole number, another one is an error.  A null
+url stays null; CR and LF in one are written, and come back, as %0D and %0A.  An
+empty table gives no packages.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
 import json
 import struct
 import zlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as store
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +40,13 @@ from . import common
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payload bytes of a package, unless one page is longer, and its records at most.
-PACKAGE_BYTES, PACKAGE_RECORDS = 8 << 20, 20_000
+PACKAGE_BYTES, PACKAGE_RECORDS = 16 << 20, 20_000
+#: Records that a task reads at once, about; a package is read in so many ranges of its index.
+READ_RECORDS = 2000
 #: A fixed time, so that reruns write the same bytes.
 DATE = "2000-01-01T00:00:00Z"
 
-PACKAGES = "name string, n_records long, content binary"
+PACKAGES = "path string, n_records long, n_bytes long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -59,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
+        *([] if url is None else ["WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A")]),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -87,7 +94,7 @@ def parse_record(data: bytes) -> tuple:
     if not revisit and (len(body) != length or digest32(body) != digest):
         raise ValueError(f"the record of {fields['WARC-Record-ID']} is damaged")
     return (
-        _id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, fields["WARC-Type"],
+        _id(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"],
         _id(fields["WARC-Refers-To"]) if revisit else None, None if revisit else body,
     )
 
@@ -95,27 +102,30 @@ def parse_record(data: bytes) -> tuple:
 # -- ZIP packages -------------------------------------------------------------
 
 
-def package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """A ZIP file of STORED members; zip64 forces the 64-bit records."""
-    out, central = io.BytesIO(), []
-    for name, data in members:
-        at, raw, crc = out.tell(), name.encode(), zlib.crc32(data)
-        big = zip64 or len(data) >= 0xFFFFFFFF or at >= 0xFFFFFFFF
-        sizes = (0xFFFFFFFF, 0xFFFFFFFF) if big else (len(data), len(data))
-        local = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if big else b""
-        extra = struct.pack("<HHQQQ", 1, 24, len(data), len(data), at) if big else b""
+def package(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> Iterator[bytes]:
+    """The parts of a ZIP file of STORED members, each given by its parts; zip64
+    forces the 64-bit records."""
+    at, central = 0, []
+    for name, parts in members:
+        raw, size, crc = name.encode(), sum(map(len, parts)), 0
+        for part in parts:
+            crc = zlib.crc32(part, crc)
+        big = zip64 or size >= 0xFFFFFFFF or at >= 0xFFFFFFFF
+        sizes = (0xFFFFFFFF, 0xFFFFFFFF) if big else (size, size)
+        local = struct.pack("<HHQQ", 1, 16, size, size) if big else b""
+        extra = struct.pack("<HHQQQ", 1, 24, size, size, at) if big else b""
         version = 45 if big else 20
-        out.write(struct.pack("<4sHHHHHIIIHH", b"PK\3\4", version, 0x800, 0, 0, 0x21, crc, *sizes, len(raw), len(local)) + raw + local + data)
+        yield struct.pack("<4sHHHHHIIIHH", b"PK\3\4", version, 0x800, 0, 0, 0x21, crc, *sizes, len(raw), len(local)) + raw + local
+        yield from parts
         central.append(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", version, version, 0x800, 0, 0, 0x21, crc, *sizes, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF if big else at) + raw + extra)
-    at, n, size = out.tell(), len(central), sum(map(len, central))
-    out.write(b"".join(central))
+        at += 30 + len(raw) + len(local) + size
+    n, size = len(central), sum(map(len, central))
+    yield from central
     if zip64 or n >= 0xFFFF or at + size >= 0xFFFFFFFF:
-        end = out.tell()
-        out.write(struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, size, at) + struct.pack("<4sIQI", b"PK\6\7", 0, end, 1))
-        out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+        yield struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, size, at) + struct.pack("<4sIQI", b"PK\6\7", 0, at + size, 1)
+        yield struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
     else:
-        out.write(struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, size, at, 0))
-    return out.getvalue()
+        yield struct.pack("<4sHHHHIIH", b"PK\5\6", 0, 0, n, n, size, at, 0)
 
 
 class PackageReader:
@@ -123,6 +133,7 @@ class PackageReader:
 
     def __init__(self, read: Callable[[int, int], bytes], size: int) -> None:
         self.read = read
+        self.places: dict[str, tuple[int, int]] = {}
         tail_at = max(0, size - 65557)  # the end record and the longest comment
         tail = read(tail_at, size - tail_at)
         end = tail.rfind(b"PK\5\6")
@@ -159,6 +170,8 @@ class PackageReader:
 
     def place(self, name: str) -> tuple[int, int]:
         """Where a STORED member's bytes begin, and their number."""
+        if name in self.places:
+            return self.places[name]
         method, local, size = self.members[name]
         if method:
             raise ValueError(f"{name} is compressed; only stored members can be read in ranges")
@@ -166,11 +179,14 @@ class PackageReader:
         if head[:4] != b"PK\3\4":
             raise ValueError(f"no local header of {name}")
         name_n, extra_n = struct.unpack_from("<HH", head, 26)
-        return local + 30 + name_n + extra_n, size
+        self.places[name] = local + 30 + name_n + extra_n, size
+        return self.places[name]
 
-    def entries(self) -> Iterator[dict]:
+    def entries(self, first: int = 0, n: int | None = None) -> Iterator[dict]:
+        """n entries of the index from the first one on; all, if n is None."""
         at, size = self.place(INDEX)
-        for line in self.read(at, size).decode().splitlines():
+        lines = self.read(at, size).decode().splitlines()
+        for line in lines[first : None if n is None else first + n]:
             yield json.loads(line.split(" ", 2)[2])
 
     def record(self, entry: dict) -> bytes:
@@ -180,7 +196,7 @@ class PackageReader:
         return self.read(begin + entry["offset"], entry["length"])
 
 
-def build_package(records: list[tuple[str, str, bytes]]) -> bytes:
+def build_package(records: list[tuple[str, str, bytes]], zip64: bool = False) -> Iterator[bytes]:
     """(url, digest, gzip member) of each record, in this order."""
     at, lines = 0, []
     for url, digest, data in records:
@@ -188,7 +204,50 @@ def build_package(records: list[tuple[str, str, bytes]]) -> bytes:
         lines.append(f"{json.dumps(url)[1:-1].replace(' ', '%20') or '-'} {DATE} {json.dumps(place)}")
         at += len(data)
     index = "".join(x + "\n" for x in sorted(lines)).encode()
-    return package([(ARCHIVE, b"".join(x for _, _, x in records)), (INDEX, index)], zip64=at >= 0xFFFFFFFF)
+    return package([(ARCHIVE, [x for _, _, x in records]), (INDEX, [index])], zip64)
+
+
+# -- the shared store, as tasks see it ----------------------------------------
+
+
+def open_store(path: str) -> tuple[store.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme == "file":
+        path = "file:///" + rest.lstrip("/")
+    elif colon and scheme in ("s3a", "s3n"):
+        path = "s3:" + rest
+    return store.FileSystem.from_uri(path)
+
+
+def write_file(folder: str, records: list[tuple[str, str, bytes]], zip64: bool = False) -> tuple[str, int]:
+    """Path and size of a package of these records.  Its name is that of its
+    content, so that a task which is run again writes the same file."""
+    name, size = hashlib.sha1(), 0
+    for part in build_package(records, zip64):
+        name.update(part)
+        size += len(part)
+    path = f"{folder}/{name.hexdigest()}.wacz"
+    where, at = open_store(path)
+    draft = f"{at}.{uuid.uuid4().hex}"
+    where.create_dir(at.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(draft) as out:
+        for part in build_package(records, zip64):
+            out.write(part)
+    where.move(draft, at)
+    return path, size
+
+
+def open_package(path: str) -> tuple[PackageReader, Callable[[], None]]:
+    """A reader of a stored package, by seek and read; and what closes it."""
+    where, at = open_store(path)
+    file = where.open_input_file(at)
+
+    def read(offset: int, n: int) -> bytes:
+        file.seek(offset)
+        return file.read(n)
+
+    return PackageReader(read, file.size()), file.close
 
 
 # -- DataFrames ---------------------------------------------------------------
@@ -209,8 +268,9 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return base.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_packages(pages: DataFrame) -> DataFrame:
-    """PACKAGES rows of all pages; each task makes packages of PACKAGE_BYTES."""
+def write_packages(pages: DataFrame, folder: str, *, package_bytes: int = PACKAGE_BYTES, zip64: bool = False) -> DataFrame:
+    """Write all pages as packages to a folder of the shared store; the stored
+    catalogue of them.  Each task makes packages of package_bytes."""
     common.bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +278,8 @@ def write_packages(pages: DataFrame) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            content = build_package(held)
-            name = hashlib.sha1(content).hexdigest() + ".wacz"
-            return pa.RecordBatch.from_pydict({"name": [name], "n_records": [len(held)], "content": [content]})
+            path, n_bytes = write_file(folder, held, zip64)
+            return pa.RecordBatch.from_pydict({"path": [path], "n_records": [len(held)], "n_bytes": [n_bytes]})
 
         for batch in batches:
             for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -228,18 +287,20 @@ def write_packages(pages: DataFrame) -> DataFrame:
                 data = record(page_id, url, payload, b32, refers_to, refers_to is not None)
                 held.append((url or "", b32, data))
                 size += len(payload)
-                if size >= PACKAGE_BYTES or len(held) >= PACKAGE_RECORDS:
+                if size >= package_bytes or len(held) >= PACKAGE_RECORDS:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    return with_revisits(pages).mapInArrow(run, PACKAGES)
+    return common.stored(with_revisits(pages).mapInArrow(run, PACKAGES), "catalogue")
 
 
-def read_packages(packages: DataFrame, *, payloads: bool = True) -> DataFrame:
-    """RECORDS rows of packages, each record read by its range."""
-    common.bounded_batches(packages.sparkSession)
+def read_packages(catalogue: DataFrame, *, payloads: bool = True) -> DataFrame:
+    """RECORDS rows of the packages in a catalogue.  A package is read in ranges of
+    its index, by several tasks; each record by its own range."""
+    spark = catalogue.sparkSession
+    common.bounded_batches(spark)
     names = [x.split()[0] for x in RECORDS.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
@@ -248,18 +309,20 @@ def read_packages(packages: DataFrame, *, payloads: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                view = memoryview(content.as_buffer())
-                reader = PackageReader(lambda at, n, v=view: bytes(v[at : at + n]), len(view))
+            for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                reader, close = open_package(path)
                 rows, size = [], 0
-                for entry in reader.entries():
+                for entry in reader.entries(first, READ_RECORDS):
                     row = parse_record(reader.record(entry))
                     rows.append(row if payloads else (*row[:-1], None))
                     size += len(row[-1] or b"") if payloads else 0
                     if len(rows) >= 1024 or size >= common.PIECE_BYTES:
                         yield rows_to_batch(rows)
                         rows, size = [], 0
+                close()
                 if rows:
                     yield rows_to_batch(rows)
 
-    return packages.select("content").mapInArrow(run, RECORDS)
+    ranges = catalogue.select("path", F.explode(F.sequence(F.lit(0), F.col("n_records") - 1, F.lit(READ_RECORDS))).alias("first"))
+    tasks = max(spark.sparkContext.defaultParallelism * 2, ranges.count() // 16)
+    return ranges.repartition(tasks).mapInArrow(run, RECORDS)

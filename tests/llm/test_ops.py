@@ -4,8 +4,10 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
+import struct
 import zipfile
 import zlib
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from boxweave.llm import common, decontaminate, lang_id, licenses, mixture, near_dup, passages, pii, queries, sql, telephony, token_cache, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, media string"
+SMALL = "/root/testdata/sf0.001"
 ODD = [None, "", " \t\n ", "a", "Ünï çødé ß 日本語", "x" * 300_000, "same same", "same same", "A B c", "a b C"]
 
 
@@ -158,25 +161,73 @@ def test_resampling():
     assert len(telephony.resample(x[:0], 8000, 16000)) == 0
 
 
+def resampled_by_sample(pcm, rate, out_rate):
+    """One output sample after the other, from the filter's formula."""
+    g = math.gcd(rate, out_rate)
+    up, down = out_rate // g, rate // g
+    half = 4 * max(1, -(-down // up))
+    out = []
+    for k in range(-(-len(pcm) * up // down)):
+        base, phase = divmod(k * down, up)
+        x = [phase / up - j for j in range(1 - half, half + 1)]
+        h = [np.sinc(v * min(1.0, up / down)) * (0.5 + 0.5 * math.cos(math.pi * max(-1, min(1, v / half)))) for v in x]
+        taps = [round(v / sum(h) * 32768) for v in h]
+        taps[half - 1] += 32768 - sum(taps)
+        near = [pcm[base + j] if 0 <= base + j < len(pcm) else 0 for j in range(1 - half, half + 1)]
+        out.append(max(-32768, min(32767, (sum(a * b for a, b in zip(taps, near, strict=True)) + 16384) >> 15)))
+    return out
+
+
+def feature_by_sample(payload, codec, rate):
+    if codec == "adpcm":
+        pcm = [x for i in range(0, len(payload), 576) for x in adpcm_by_sample(payload[i : i + 576])]
+    else:
+        table = telephony.MULAW if codec == "mulaw" else telephony.ALAW
+        pcm = [int(table[b]) for b in payload]
+    x = resampled_by_sample(pcm, 8000, rate)
+    turns = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    crc = zlib.crc32(struct.pack(f"<{len(x)}h", *x))
+    return f"{rate}:{len(x)}:{max(map(abs, x))}:{sum(map(abs, x)) // len(x)}:{int((sum(v * v for v in x) // len(x)) ** 0.5)}:{turns}:{crc:08x}"
+
+
 @pytest.mark.parametrize("codec", [None, *telephony.CODECS])
 def test_media_round_trip(spark, codec):
-    docs = odd_docs(spark).where("doc_id IS NOT NULL")
+    docs = odd_docs(spark).where("doc_id IS NOT NULL").withColumn("feature", F.lit("clash"))
     packed = telephony.pack(docs, codec=codec)
     assert packed.columns.count("media") == 1
-    for r in telephony.read_back(common.stored(packed, "media")).collect():
-        raw = (r.text or "").encode()
-        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
-        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
-        assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+    for rate in (telephony.STORED_RATE, 16000):
+        rows = telephony.features(common.stored(telephony.read_back(common.stored(packed, "media"), out_rate=rate), "pcm")).collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            raw = (r.text or "").encode()
+            payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+            assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+            assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-32:])
+            assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and r.media_bytes == len(r.media)
+            if len(payload) < 10_000:
+                assert r.feature == feature_by_sample(payload, r.codec, rate)
     pcm = [telephony.to_pcm([r.media])[0] for r in packed.limit(3).collect()]
     assert all(rate == 8000 and len(x) for rate, x in pcm)
 
 
+def test_media_query_equals_sample_by_sample(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = queries.op2_telephony(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        if len(payload) < 1200:
+            assert r.feature == feature_by_sample(payload, r.codec, telephony.STORED_RATE)
+
+
 def test_unreadable_media(spark):
     df = spark.createDataFrame([(None,), (bytearray(b""),), (bytearray(b"RIFF1234WAVEdata"),)], "media binary")
     assert {tuple(r)[1:] for r in telephony.read_back(df).collect()} == {(None,) * 6}
     assert {r.pcm for r in telephony.decode(df).collect()} == {None}
+    assert {r.feature for r in telephony.features(df, pcm_col="media").collect()} == {None}
+    assert telephony.features(telephony.read_back(telephony.pack(odd_docs(spark).limit(0)))).count() == 0
 
 
 # -- 3 ------------------------------------------------------------------------
@@ -598,7 +649,7 @@ def test_near_repeats_are_found(spark):
 @pytest.mark.parametrize("zip64", [False, True])
 def test_packages_are_zip_files(zip64):
     members = [("a/x.gz", b"first" * 100), ("é.txt", b""), ("b", b"PK\5\6" * 30)]
-    data = warc.package(members, zip64)
+    data = b"".join(warc.package([(n, [b[:3], b[3:]]) for n, b in members], zip64))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == dict(members)
     reads = []
@@ -627,19 +678,52 @@ def test_reader_takes_packages_made_elsewhere():
     assert gzip.decompress(record).startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u 1", "same"), (2, None, "same"), (3, "u\r\n3", None), (4, "u4", ""), (5, "u5", "é" * 100_000), (6, "u6", "\r\n\r\nx"), (None, "n", "same"), (None, "n", "only"), (2, "again", "same")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int").repartition(2)
-    got = warc.read_packages(common.stored(warc.write_packages(df), "p")).collect()
-    assert len(got) == len(rows)
+    got = warc.read_packages(warc.write_packages(df, f"file://{tmp_path}/a")).collect()
+    assert len(got) == len(rows) and [r.url for r in got if r.page_id == 2 and r.url != "again"] == [None]
     for r in got:
-        html = {"u 1": "same", "": "same", "u%0D%0A3": "", "u4": "", "u5": "é" * 100_000, "u6": "\r\n\r\nx"}.get(r.url)
+        html = {"u 1": "same", None: "same", "u%0D%0A3": "", "u4": "", "u5": "é" * 100_000, "u6": "\r\n\r\nx"}.get(r.url)
         if html is not None:
             assert r.payload_bytes == len(html.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
             assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == html.encode()
     kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in got)
     assert kinds == sorted([("1", "revisit", 2), ("2", "response", None), ("2", "response", None), ("3", "revisit", 4), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("None", "revisit", 2), ("None", "response", None)])
-    assert warc.write_packages(df.limit(0)).count() == 0
+    assert warc.write_packages(df.limit(0), f"{tmp_path}/b").count() == 0
+    assert warc.read_packages(warc.write_packages(df.limit(0), f"{tmp_path}/c")).count() == 0
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_stored_packages_are_read_by_range(spark, tmp_path, zip64):
+    rng = random.Random(2)
+    pages = [(i, f"http://x/{i}", prose(rng, 3000, 10**6)) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    catalogue = warc.write_packages(df, f"file://{tmp_path}/p", package_bytes=3_000_000, zip64=zip64)
+    files = {r.path: r for r in catalogue.collect()}
+    assert len(files) > 1 and sum(r.n_records for r in files.values()) == 300
+    assert sorted(f.name for f in (tmp_path / "p").iterdir()) == sorted(p.rpartition("/")[2] for p in files)
+    got = {r.page_id: (r.url, bytes(r.payload).decode()) for r in warc.read_packages(catalogue).collect()}
+    assert got == {i: (u, h) for i, u, h in pages}
+    path = next(iter(files)).removeprefix("file://")
+    with zipfile.ZipFile(path) as z:
+        assert z.testzip() is None and z.namelist() == [warc.ARCHIVE, warc.INDEX]
+    assert (b"PK\6\6" in open(path, "rb").read()[-200:]) == zip64
+    reads = []
+    with open(path, "rb") as f:
+
+        def read(at, n):
+            reads.append(n)
+            f.seek(at)
+            return f.read(n)
+
+        reader = warc.PackageReader(read, files["file://" + path].n_bytes)
+        entry = next(reader.entries(7, 1))
+        tail, before = reads[0], len(reads)
+        record = warc.parse_record(reader.record(entry))
+    # the tail where the directory is, a few headers, the index, and of the archive one record
+    assert got[record[0]][1].encode() == record[-1] and reads[-1] == entry["length"] and len(reads) - before <= 2
+    assert sum(reads) - tail < files["file://" + path].n_bytes / 20
 
 
 # -- 10 -----------------------------------------------------------------------
@@ -651,14 +735,47 @@ def test_token_cache(spark, tmp_path):
 
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     encoder = sentencepiece.SentencePieceProcessor(model_file=path)
-    docs = odd_docs(spark).withColumn("content", F.lit("clash")).withColumn("text", F.when(F.col("doc_id") == 5, "y " * 5000 + "<s></s><unk>").otherwise(F.col("text")))
+    odd = F.when(F.col("doc_id") == 5, "y " * 5000 + "<s></s><unk>").when(F.col("doc_id") == 6, "  same\u2581same ").when(F.col("doc_id") == 7, "\u2581 same same\u2581").otherwise(F.col("text"))
+    docs = odd_docs(spark).withColumns({"content": F.lit("clash"), "n_bytes": F.lit("clash"), "N_Tokens": F.lit("clash")}).withColumn("text", odd)
     cache = f"file://{tmp_path}/cache"
-    first = token_cache.count_tokens(docs, cache, path).collect()
+    first = token_cache.count_tokens(docs, cache, path)
+    assert [c for c in first.columns if c.lower().startswith("n_")] == ["n_chars", "n_bytes", "n_tokens"]
+    first = first.collect()
     for r in first:
         assert r.n_tokens == len(encoder.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode())
-    files = spark.read.parquet(cache)
-    distinct = len({r.text or "" for r in first})
-    assert files.count() == distinct
+    files = spark.read.parquet(f"{cache}/*")
+    distinct = len({(r.text or "").replace("\u2581", " ") for r in first})
+    assert files.count() == distinct == len({r.text or "" for r in first}) - 1
     again = token_cache.count_tokens(docs.unionAll(docs.withColumns({"text": F.lit("new one"), "doc_id": F.lit(99)}).limit(1)), cache, path)
-    assert again.count() == len(first) + 1 and spark.read.parquet(cache).count() == distinct + 1  # only the miss was encoded
+    assert again.count() == len(first) + 1 and spark.read.parquet(f"{cache}/*").count() == distinct + 1  # only the miss was encoded
     assert token_cache.count_tokens(docs.limit(0), cache, path).count() == 0
+
+
+def test_normalised_texts_have_the_same_count():
+    import public_tokenizers
+    import sentencepiece
+
+    encoder = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(3)
+    for _ in range(500):
+        t = "".join(rng.choice([" ", "\u2581", "the", "a", "\n", "é", "  "]) for _ in range(rng.randrange(12)))
+        assert encoder.encode(t) == encoder.encode(t.replace("\u2581", " ")), repr(t)
+
+
+def test_a_second_run_encodes_nothing(spark, monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    encoder = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    want = {(k, len(t.encode()), n := len(encoder.encode(t)), n > 4096) for k, t in texts.items()}
+    sent = []
+
+    def counted(misses, model, real=token_cache.encode):
+        sent.append(misses.count())
+        return real(misses, model)
+
+    monkeypatch.setattr(token_cache, "encode", counted)
+    for _ in range(2):
+        assert {tuple(r) for r in queries.op10_token_counts(spark, SMALL).collect()} == want
+    assert sent[-1] == 0 and sent[0] in (0, len({t.replace("\u2581", " ") for t in texts.values()}))
