@@ -1,25 +1,32 @@
 """Personal data: fixed patterns, and a linear-chain CRF for what they miss.
 
 The patterns find emails, IPv4 addresses, card and phone numbers.  A conditional
-random field over word-shape features, trained on the small table LABELLED, tags
-the words of a text; runs of a tag whose characters hold a valid value of that
-kind, written in a way that the patterns don't match, are added as spans.
+random field over word-shape features, trained on the small table LABELLED, gives
+each word of a text a tag: outside, or the beginning or the inside of a kind.  What a
+beginning and the insides behind it cover is added as a span if its characters hold a
+valid value of that kind, written in a way that the patterns don't match.
 
 Words without a mark (a digit, '@', '+' or a bracketed at) and with none within
-CONTEXT words have one and the same score, by which they are certain to be no personal data (checked when a
-model is trained).  A chain may be cut at such words without changing the best
-path, so Viterbi runs on what lies between, padded and batched in numpy.
-
-Offsets are code points.  A null text has no spans; empty tables give no rows;
-columns of the input with the names of the results are replaced.
+CONTEXT words have one and the same score.  Where that score outweighs all that
+transitions could gain (``Model.certain``, looked up after training), such words are
+outside in the best path, and a chain may be cut at them without changing it: Viterbi
+runs on what lies between, padded and batched in numpy.  With a model for which this
+doesn't hold, whole texts are chains.
+
+Offsets are code points.  A null text has no spans; equal texts have equal spans, so
+repeated rows do; of two best paths the one whose tags come first in TAGS is taken;
+empty tables give no rows; columns of the input with the names of the results are
+replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,8 @@ from . import common
 
 KINDS = ["email", "ip", "card", "phone"]
 OUTSIDE = "none"
-TAGS = [OUTSIDE, *KINDS]
+#: Outside, and for each kind its beginning (odd) and its inside (even).
+TAGS = [OUTSIDE, *[f"{part} {kind}" for kind in KINDS for part in ("begin", "inside")]]
 FIELDS = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base", T.StringType()), T.StructField("spans", T.StringType())]
 
 #: The labelled table: a text a line, with [kind words] around personal data.
@@ -52,6 +60,11 @@ server at [ip 192.168.7.25]:8080 answered
 route via [ip 172[.]16[.]9[.]14] was cut
 IP [ip (203.0.113.77)]. Next
 seen [ip 10[.]0[.]3[.]8] twice
+hosts [ip 10[.]1[.]2[.]30] [ip 10[.]1[.]2[.]31] are up
+both [ip 192-168-1-20] [ip 192-168-1-21] and [ip 10,1,0,9] [ip 10,1,0,8] answered
+mails to [email ada(at)post.example.org] [email bo[at]place.example.net] bounced
+ask [email cy(at)one.example.com], [email di(at)two.example.com] today
+cards [card 4111/1111/1111/1111] [card 5500/0000/0000/0004] were used
 blocked [ip 198[.]51[.]100[.]4], again
 peer [ip 198.51.100.23%%%] left%%%
 address [ip 203-0-113-9] was seen
@@ -81,6 +94,9 @@ reach [phone +1 [212] 555 0147] by six
 call [phone (415) 555-0198] after ten
 phone: [phone 020 7946 0321] or come
 tel [phone 613-555-0182] office
+ring [phone (212) 555-0143] or [phone 020 7946 0188] now
+mobile [phone 07700 900 456], home
+office [phone 415-555-0136] [phone 415-555-0137] both
 score +3 points in 2 games
 a rise of +12 % in 2019
 about 100 people in 1984 and 2001
@@ -97,6 +113,11 @@ item no. 8841 or 8842 7
 | 14 | 2550 | 318 |
 x1 y2 z3 a4b5
 part 00-17-22 is sold
+lot 2019-0045-118 of 1200
+from 1914-1918 and 1939-1945
+isbn 978-0-306-40615-7 in print
+rows 100 200 300 400 in all
+(12) 3456 and (7) 89
 one two three four five
 The end of the day, and more.
 """
@@ -166,13 +187,20 @@ _DECOR = "*%$#!&~^|<>{}\"'`,;:?=…"
 PLAIN = "plain"
 
 
-@functools.lru_cache(maxsize=1 << 16)
 def shape(word: str) -> str:
     """Letters to X and x, digits to 9, runs shortened; decoration left out."""
+    return _known_shape(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> str:
     if not _MARK.search(word):
         return PLAIN
     s = "".join("9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c for c in word.strip(_DECOR))
-    return _RUN.sub(lambda m: m[0] if len(m[0]) <= 1 else m[0][0] + ("+" if len(m[0]) < 5 else "*" if len(m[0]) < 11 else "#"), s)[:24]
+    return _RUN.sub(lambda m: m[0] if len(m[0]) <= 1 else m[0][0] + ("+" if len(m[0]) < 5 else "*" if len(m[0]) < 11 else "#"), s)
+
+
+#: Shapes of short words are kept, some 10 MB of them at most.
+_known_shape = functools.lru_cache(maxsize=1 << 16)(_shape)
 
 
 def word_features(words: list[str], i: int) -> list[str]:
@@ -199,12 +227,14 @@ def labelled(table: str = LABELLED) -> list[tuple[list[str], list[int]]]:
         words, tags, tag, depth = [], [], 0, 0
         for word in line.split():
             if word[1:] in KINDS and word[0] == "[":
-                tag, depth = TAGS.index(word[1:]), 1
+                tag, depth = TAGS.index(f"begin {word[1:]}"), 1
                 continue
             own = tag
-            if tag and (depth := depth + word.count("[") - word.count("]")) <= 0:
-                cut = word.rindex("]")
-                word, tag = word[:cut] + word[cut + 1 :], 0
+            if tag:
+                tag = own + own % 2  # what follows a beginning is inside
+                if (depth := depth + word.count("[") - word.count("]")) <= 0:
+                    cut = word.rindex("]")
+                    word, tag = word[:cut] + word[cut + 1 :], 0
             words.append(word)
             tags.append(own)
         rows.append((words, tags))
@@ -216,6 +246,7 @@ class Model:
     index: dict[str, int]
     emission: np.ndarray  # (features + 1, tags); the last row is of unknown features
     transition: np.ndarray  # (tags, tags)
+    certain: bool = False  # words far from any mark are outside in every best path
 
     def scores(self, words: list[str], first: int, last: int) -> np.ndarray:
         unknown = len(self.index)
@@ -227,8 +258,30 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def expectations(e: np.ndarray, transition: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains (n, length, tags) of scores, of which ``live`` words count: the log
+    of each one's sum over all paths, each word's chance of each tag, and the
+    expected number of each transition in all of them."""
+    n, length, k = e.shape
+    forward, backward = np.zeros((length, n, k)), np.zeros((length, n, k))
+    forward[0] = e[:, 0]
+    for i in range(1, length):
+        new = _logsum(forward[i - 1][:, :, None] + transition, 1) + e[:, i]
+        forward[i] = np.where(live[:, i, None], new, forward[i - 1])
+    for i in range(length - 2, -1, -1):
+        new = _logsum(transition + (e[:, i + 1] + backward[i + 1])[:, None, :], 2)
+        backward[i] = np.where(live[:, i + 1, None], new, 0.0)
+    total = _logsum(forward[-1], 1)
+    chance = np.exp(forward.transpose(1, 0, 2) + backward.transpose(1, 0, 2) - total[:, None, None]) * live[:, :, None]
+    pairs = np.zeros((k, k))
+    for i in range(1, length):
+        p = np.exp(forward[i - 1][:, :, None] + transition + (e[:, i] + backward[i])[:, None, :] - total[:, None, None])
+        pairs += p[live[:, i]].sum(0)
+    return total, chance, pairs
+
+
 @functools.lru_cache(maxsize=4)
-def train(table: str = LABELLED, steps: int = 300, decay: float = 2e-3) -> Model:
+def train(table: str = LABELLED, steps: int = 300, decay: float = 2e-2) -> Model:
     """Maximum conditional likelihood, by gradients from forward-backward over
     all sentences at once; fixed steps from zero, so each run gets this model."""
     rows = labelled(table)
@@ -246,21 +299,7 @@ def train(table: str = LABELLED, steps: int = 300, decay: float = 2e-3) -> Model
     emission, transition = np.zeros((size + 1, k)), np.zeros((k, k))
     square_e, square_t = np.full_like(emission, 1e-8), np.full_like(transition, 1e-8)
     for _ in range(steps):
-        e = emission[at].sum(2)
-        forward, backward = np.zeros((length, n, k)), np.zeros((length, n, k))
-        forward[0] = e[:, 0]
-        for i in range(1, length):
-            new = _logsum(forward[i - 1][:, :, None] + transition, 1) + e[:, i]
-            forward[i] = np.where(live[:, i, None], new, forward[i - 1])
-        for i in range(length - 2, -1, -1):
-            new = _logsum(transition + (e[:, i + 1] + backward[i + 1])[:, None, :], 2)
-            backward[i] = np.where(live[:, i + 1, None], new, 0.0)
-        total = _logsum(forward[-1], 1)
-        chance = np.exp(forward.transpose(1, 0, 2) + backward.transpose(1, 0, 2) - total[:, None, None]) * live[:, :, None]
-        pairs = np.zeros((k, k))
-        for i in range(1, length):
-            p = np.exp(forward[i - 1][:, :, None] + transition + (e[:, i] + backward[i])[:, None, :] - total[:, None, None])
-            pairs += p[live[:, i]].sum(0)
+        _, chance, pairs = expectations(emission[at].sum(2), transition, live)
         slope = np.zeros_like(emission)
         np.add.at(slope, at, np.broadcast_to((truth - chance)[:, :, None, :], (*at.shape, k)))
         slope[size] = 0.0
@@ -271,13 +310,18 @@ def train(table: str = LABELLED, steps: int = 300, decay: float = 2e-3) -> Model
         emission += 0.5 * slope / np.sqrt(square_e)
         transition += 0.5 * slope_t / np.sqrt(square_t)
     model = Model(index, emission, transition)
-    plain = model.scores([""] * 5, 2, 3)[0]
-    swing = 2 * (transition.max() - transition.min())
-    if plain[0] - plain[1:].max() <= swing:
-        model.emission[index[f"s {PLAIN}"], 0] += swing - (plain[0] - plain[1:].max()) + 1e-3  # plain words are certain
+    model.certain = bool(plain_margin(model) > 0)
     return model
 
 
+def plain_margin(model: Model) -> float:
+    """By how much at least a path gains if a word far from any mark is outside in
+    it, whatever stands on either side."""
+    plain, t = model.scores([""] * 5, 2, 3)[0], model.transition
+    gains = [plain[0] - plain[k] + (t[:, 0] - t[:, k]).min() + (t[0] - t[k]).min() for k in range(1, len(TAGS))]
+    return float(min(gains))
+
+
 def viterbi(model: Model, chains: list[np.ndarray]) -> list[np.ndarray]:
     """The best tags of each chain of scores; chains of like length together.
     A word that is certain to be outside stands before and after each."""
@@ -287,7 +331,7 @@ def viterbi(model: Model, chains: list[np.ndarray]) -> list[np.ndarray]:
     while start < len(order):
         stop = start + 1
         longest = len(chains[order[start]])
-        while stop < len(order) and len(chains[order[stop]]) <= longest * 1.25 + 2 and (stop - start) * len(chains[order[stop]]) < 1 << 18:
+        while stop < len(order) and len(chains[order[stop]]) <= longest * 1.25 + 2 and (stop - start) * len(chains[order[stop]]) < 1 << 17:
             stop += 1
         mine = order[start:stop]
         length = len(chains[mine[-1]])
@@ -318,22 +362,33 @@ def viterbi(model: Model, chains: list[np.ndarray]) -> list[np.ndarray]:
 _AT = re.compile(r"\s*[\[({<]at[\])}>]\s*", re.I)
 _DOT = re.compile(r"\s*[\[({<](?:dot|\.)[\])}>]\s*", re.I)
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_EDGE = re.compile(r"^[^A-Za-z0-9+]*(.*?)[^A-Za-z0-9]*$", re.S)
+_BLANKS = re.compile(r"[\x20\x09-\x0D]+")
+_FIRST, _LAST = re.compile(r"[A-Za-z0-9+]"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The part of text[a:b] without what surrounds a value; b <= a if that is all."""
+    m = _FIRST.search(text, a, b)
+    a = m.start() if m else b
+    while b > a and text[b - 1] not in _LAST:
+        b -= 1
+    return a, b
 
 
 def valid(kind: int, piece: str) -> bool:
-    """Whether the piece holds a value of the kind, however it is written."""
-    if kind == 1:
-        return bool(_EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", piece))))
-    if any(c.isalpha() for c in piece) or len(piece) > 64:
+    """Whether the piece holds a value of the kind, however it is written.  A phone
+    number without a country's code stands in two groups of digits at least."""
+    if kind == 0:
+        return bool(_EMAIL.fullmatch(_DOT.sub(".", _AT.sub("@", _BLANKS.sub(" ", piece)))))
+    if any(c.isalpha() for c in piece):
         return False
     digits = _NOT_DIGIT.sub("", piece)
-    if kind == 2:
-        parts = re.findall(r"[0-9]+", piece)
+    if kind == 1:
+        parts = _NOT_DIGIT.split(piece)
         return len(parts) == 4 and all(map(_small, parts))
-    if kind == 3:
+    if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return piece[0] == "+" and 9 <= len(digits) <= 15
+    return 9 <= len(digits) <= 15 and (piece[0] == "+" or piece != digits)
 
 
 def _islands(words: list[str]) -> list[tuple[int, int]]:
@@ -349,6 +404,21 @@ def _islands(words: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def entities(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(first word, kind, word behind the last) of what the tags cover.  An inside
+    that follows nothing of its kind begins one."""
+    out: list[tuple[int, int, int]] = []
+    for i, tag in enumerate(tags.tolist()):
+        if not tag:
+            continue
+        kind = (tag - 1) // 2
+        if tag % 2 == 0 and out and out[-1][1:] == (kind, i):
+            out[-1] = out[-1][0], kind, i + 1
+        else:
+            out.append((i, kind, i + 1))
+    return out
+
+
 def find(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, as (start, number of the kind, end)."""
     found, chains, places = [], [], []
@@ -360,23 +430,19 @@ def find(texts: list[str | None], model: Model) -> list[tuple[list, list]]:
         found.append((base, list(base)))
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b] for a, b in spans]
-        for a, b in _islands(words):
+        for a, b in _islands(words) if model.certain else [(0, len(words))]:
             chains.append(model.scores(words, a, b))
             places.append((t, spans[a:b]))
+    starts, reach = {}, {}
     for tags, (t, spans) in zip(viterbi(model, chains), places, strict=True):
-        i = 0
-        while i < len(tags):
-            j = i + 1
-            while j < len(tags) and tags[j] == tags[i]:
-                j += 1
-            if tags[i]:
-                begin, piece = spans[i][0], texts[t][spans[i][0] : spans[j - 1][1]]
-                m = _EDGE.match(piece)
-                a, b = begin + m.start(1), begin + m.end(1)
-                base = found[t][0]
-                if a < b and valid(int(tags[i]), m[1]) and not any(x < b and a < y for x, _, y in base):
-                    found[t][1].append((a, int(tags[i]) - 1, b))
-            i = j
+        base, every = found[t]
+        if t not in starts:
+            starts[t], reach[t] = [x for x, _, _ in base], list(accumulate((y for _, _, y in base), max))
+        for first, kind, behind in entities(tags):
+            a, b = trimmed(texts[t], spans[first][0], spans[behind - 1][1])
+            ahead = bisect.bisect_left(starts[t], b)  # base spans that begin before b
+            if a < b and not (ahead and reach[t][ahead - 1] > a) and valid(kind, texts[t][a:b]):
+                every.append((a, kind, b))
     return [(base, sorted(every)) for base, every in found]
 
 
