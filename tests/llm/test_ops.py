@@ -391,6 +391,7 @@ def test_estimate_is_corrected():
 
 
 def brute_hits(text, items):
+    items = [("" if i is None else i, t) for i, t in items]
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, who = norm(text), set(), set()
     for item, t in items:
@@ -404,10 +405,10 @@ def brute_hits(text, items):
     return len(w), hit, sorted(map(str, who))
 
 
-@pytest.mark.parametrize("block", [16 << 20, 3000])
+@pytest.mark.parametrize("block", [64 << 20, 30_000])
 def test_contamination(spark, block):
     rng = random.Random(5)
-    items = [(i, prose(rng, rng.choice([0, 1, 5, 12, 13, 14, 40]), 10**5)) for i in range(30)] + [(30, None), (31, "Crème brûlée"), (31, "Crème brûlée")]
+    items = [(i, prose(rng, rng.choice([0, 1, 5, 12, 13, 14, 40]), 10**5)) for i in range(30)] + [(30, None), (31, "Crème brûlée"), (31, "Crème brûlée"), (None, prose(rng, 20, 10**5)), (32, "_, " + prose(rng, 1500, 10**5).replace(" ", " .\n"))]
     docs = []
     for i in range(60):
         w = prose(rng, rng.randrange(0, 120)).split()
@@ -426,6 +427,26 @@ def test_contamination(spark, block):
         assert {x for a, b in got[k][3] for x in range(a, b)} == hit
 
 
+def test_parts_of_an_item_have_all_its_windows():
+    rng = random.Random(8)
+    for n in (1, 3, 13):
+        for _ in range(30):
+            text = rng.choice([" ", "  --", "é "]).join(prose(rng, rng.randrange(1, 200), 50).split())
+            spelt = lambda t: [m[0] for m in decontaminate._ITEM_WORD.finditer(t)]
+            windows = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+            parts = list(decontaminate.item_parts(text, n, 100))
+            got = set().union(*(windows(spelt(p)) for p in parts))
+            if len(spelt(text)) >= n:
+                assert got == windows(spelt(text)) and all(len(spelt(p)) >= n for p in parts[:-1])
+
+
+def test_set_is_bounded_by_its_text():
+    rng = random.Random(9)
+    texts = [("a", "a b c d e f " * 4000), ("b", prose(rng, 20_000, 10**6)), ("c", "é ü " * 3000)]
+    for item in texts:
+        assert decontaminate.GramSet([item], 13).n_bytes() <= decontaminate.SET_BYTES * len(item[1].encode())
+
+
 def test_contamination_takes_effect(spark):
     item = " ".join(f"q{i}" for i in range(20))
     docs = spark.createDataFrame([(1, f"clean start. {item}; the end", "k"), (2, item + " tail " * 500, "k"), (3, "clean", "k"), (4, None, "k")], "doc_id long, text string, items string")
