@@ -6,13 +6,16 @@ takes the codeword with the least logistic loss of the bits' margins, each bit
 weighted by its accuracy on that language in training; a text whose two nearest
 codewords are about as near is flagged as ambiguous.
 
-Classifiers are fitted on the driver on a bounded sample: at most SAMPLE rows in
-all and SAMPLE_PER_LANGUAGE of a language, chosen by a digest of doc_id.  Their
-n-gram counts are made on the executors, over whole texts.
+Classifiers are fitted on the driver on a bounded sample: of the LANGUAGES most
+frequent labels (of equally frequent ones the first by name) SAMPLE_PER_LANGUAGE rows
+each, SAMPLE in all, chosen by a digest of doc_id and text; rows equal in both and in
+label are one.  Their n-gram counts are made on the executors, over whole texts.
 
 A null text and one without a letter are ``und``, with score 0 and not ambiguous;
 without any labelled row all texts are.  A null lang is never learned from, a null
-doc_id may be.  Columns of the input with the names of the results are replaced.
+doc_id may be.  Of codewords that are equally near the first language by name is taken;
+repeated rows have equal results; empty tables give no rows.  Columns of the input with
+the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-SAMPLE, SAMPLE_PER_LANGUAGE = 4000, 500
+SAMPLE, SAMPLE_PER_LANGUAGE, LANGUAGES = 4000, 500, 500
 #: Buckets of byte pairs and of byte triples.
 PAIRS, TRIPLES = 1024, 4096
 DIM = PAIRS + TRIPLES
@@ -153,17 +156,19 @@ def learnable() -> Column:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", where: Column | None = None) -> Model:
     """A model of the labelled rows ``where`` holds (all, if that is None)."""
     rows = docs.where(where) if where is not None else docs
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col("doc_id").cast("string").alias("id"))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.pmod(F.xxhash64(name), F.lit(1 << 52)) / float(1 << 52)).alias("rank"))
     rows = rows.where(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    top = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("rank").alias("distinct"))
+    counts = {r["lang"]: r["distinct"] for r in top.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return fit(np.zeros((0, DIM), np.float32), [])
     each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counts)))
-    rank = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, each / n))]), F.col("lang"))
-    sample = rows.withColumn("rank", rank).where(F.col("rank") <= limit).select("text", "lang", "rank")
+    # somewhat more than is taken, so that few languages are short of it by chance
+    limits = docs.sparkSession.createDataFrame([(k, min(1.0, 1.2 * (each + 5 * each**0.5) / n)) for k, n in counts.items()], "lang string, most double")
+    chosen = rows.join(F.broadcast(limits), "lang").where("rank <= most").groupBy("lang", "rank").agg(F.first("text").alias("text"))
     field = T.StructField("x", T.BinaryType())
-    made = common.annotate(sample, "text", lambda col, _: [pa.array([r.astype(np.float16).tobytes() for r in features(col)], pa.binary())], [field])
+    made = common.annotate(chosen, "text", lambda col, _: [pa.array([r.astype(np.float16).tobytes() for r in features(col)], pa.binary())], [field])
     found: dict[str, list[bytes]] = {}
     for r in sorted(made.select("lang", "rank", "x").collect(), key=lambda r: (r["lang"], r["rank"], bytes(r["x"]))):
         found.setdefault(r["lang"], []).append(r["x"])

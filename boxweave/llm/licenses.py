@@ -11,10 +11,12 @@ any are left out before they are cut into words.  Bigrams meet those of the temp
 are the fixed list TEMPLATES (or a list given instead), whose bigrams are
 broadcast only while there are at most MAX_BROADCAST of them.
 
-DataFrame functions only.  A null text and a unit of fewer than two words match
-nothing; a unit that two templates match equally well goes to the first of them
-by id; equal units of one text count once, at their first place.  Empty tables
-give no rows; other columns of the input are not read.
+DataFrame functions only.  A null text, and a unit or a template of fewer than two
+words, match nothing; a unit that two templates match equally well goes to the first
+of them in the list; equal units of one text count once, at their first place.  Each row
+is scanned on its own: repeated rows give repeated results, rows that share a doc_id
+or have none each theirs.  Empty tables and an empty list of templates give no rows;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -95,6 +97,8 @@ def required_words(given: list[tuple[str, str]], threshold: float = THRESHOLD) -
         w = _plain_words(text)
         left = set(zip(w, w[1:], strict=False))
         b = len(left)
+        if not b:
+            continue
         low = ceil(b * threshold / (2 - threshold) - 1e-9)
         need = b - ceil(threshold * (low + b) / 2 - 1e-9) + 1
         touched = 0
@@ -111,10 +115,11 @@ def telling(text: Column, needed: set[str]) -> Column:
 
 
 def units(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, unit (its place in the list lines, paragraphs, whole) and unit_text."""
+    """uid (a number of the row), doc_id, unit (its place in the list lines,
+    paragraphs, whole) and unit_text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     parts = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
-    return docs.select("doc_id", F.posexplode(parts).alias("unit", "unit_text"))
+    return docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", parts.alias("parts")).select("uid", "doc_id", F.posexplode("parts").alias("unit", "unit_text"))
 
 
 def scan(docs: DataFrame, *, given: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -124,7 +129,8 @@ def scan(docs: DataFrame, *, given: list[tuple[str, str]] | None = None, thresho
     grams = templates(spark, given, threshold)
     bounds = grams.agg(F.min("low"), F.max("high"), F.count("*")).first()
     if not bounds[2]:
-        return spark.createDataFrame([], "doc_id long, unit int, license_id string, dice double")
+        nothing = {"unit": "int", "license_id": "string", "dice": "double"}
+        return docs.limit(0).select("doc_id", *[F.lit(None).cast(t).alias(k) for k, t in nothing.items()])
     needed = required_words(given if given is not None else TEMPLATES, threshold)
     if len(needed) <= MAX_WORDS:
         made = units(docs.where(telling(F.col(text_col).cast("string"), needed)), text_col).where(telling(F.col("unit_text"), needed))
@@ -134,11 +140,11 @@ def scan(docs: DataFrame, *, given: list[tuple[str, str]] | None = None, thresho
     # repeats only make a set smaller, so few words rule a unit out at once
     made = made.where(F.size("w") > F.lit(int(bounds[0]))).withColumn("g", bigrams(F.col("w")))
     made = made.where(F.size("g").between(int(bounds[0]), int(bounds[1])))
-    rows = made.select(F.col("doc_id"), "unit", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    rows = made.select("uid", "doc_id", "unit", F.size("g").alias("n"), F.explode("g").alias("gram"))
     sides = F.broadcast(grams) if bounds[2] <= MAX_BROADCAST else grams
     met = rows.join(sides, "gram").where(F.col("n").between(F.col("low"), F.col("high")))
-    counted = met.groupBy("doc_id", "unit", "template", "license_id", "n", "size").agg(F.count("*").alias("shared"))
+    counted = met.groupBy("uid", "doc_id", "unit", "template", "license_id", "n", "size").agg(F.count("*").alias("shared"))
     dice = (F.col("shared") * 2) / (F.col("n") + F.col("size"))
     passed = counted.withColumn("dice", dice.cast("double")).where(F.col("dice") >= threshold)
-    best = passed.groupBy("doc_id", "unit").agg(F.max_by(F.struct("license_id", "dice"), F.struct("dice", -F.col("template"))).alias("b"))
+    best = passed.groupBy("uid", "doc_id", "unit").agg(F.max_by(F.struct("license_id", "dice"), F.struct("dice", -F.col("template"))).alias("b"))
     return best.select("doc_id", "unit", "b.license_id", "b.dice")

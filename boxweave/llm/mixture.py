@@ -4,7 +4,7 @@ Sizes are words.  Sources in code-point order, null last, weigh WEIGHTS in turn
 and share SHARE of all words; a target stops at MAX_EPOCHS times its source, and
 the excess is shared anew by weight.
 
-Each source's documents form a stream in the order of a digest of doc_id.  The
+Each source's documents form a stream in the order of a digest of doc_id and text.  The
 source's weight schedule (linear between knots over training time 0 to 1) is
 integrated to its cumulative demand of words; the inverse of that demand at a
 document's place in the stream is its training position.  A stream that is used
@@ -14,8 +14,10 @@ Running sums are taken within buckets of a source's stream, whose number follows
 the source's rows, so that no task gets all of a source.
 
 A null text has size 0; documents of size 0 and empty sources take nothing and
-have no position; a null doc_id is ordered as the empty text.  Repeated rows are
-each a document.  Columns of the input with the names of the results are replaced.
+have no position; a null doc_id is ordered as the empty text.  Rows that share an id,
+and repeated rows, are each a document; of rows equal in id and text it doesn't matter
+which comes first.  Empty tables give no rows.  Columns of the input with the names of
+the results are replaced.
 """
 
 from __future__ import annotations
@@ -84,7 +86,9 @@ def mix(
     that the mix takes a document, position: the first of them or null."""
     schedules = schedules or SCHEDULES
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, _ORDER_BITS // 4), 16, 10)
+    # the text's digest too, so that rows without an id are spread as well
+    named = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    digest = F.conv(F.substring(F.md5(named.cast("binary")), 1, _ORDER_BITS // 4), 16, 10)
     # a key that is never null, so that the window's partitioning serves the join too
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     # a row a source: small, so that Spark sends it to all tasks while it is

@@ -111,6 +111,48 @@ def test_language_id_odd(spark):
     assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"clash", None}
 
 
+def test_predictions_equal_a_plain_decoding(spark):
+    """Counts by a loop over n-grams, and the nearest codeword by its definition."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = lang_id.train(docs, where=lang_id.learnable())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    mask = (1 << 32) - 1
+
+    def plain(text):
+        raw = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()]
+        counts = np.zeros(lang_id.DIM)
+        for n, size, begin, factors in ((2, lang_id.PAIRS, 0, (0x9E3779B1, 0x85EBCA77)), (3, lang_id.TRIPLES, lang_id.PAIRS, None)):
+            for i in range(len(raw) - n + 1):
+                code = (raw[i] * 0x9E3779B1 + raw[i + 1] * 0x85EBCA77) & mask
+                if n == 3:
+                    code = (code * 0xC2B2AE3D + raw[i + 2] * 0x27D4EB2F) & mask
+                code = ((code ^ code >> 15) * 0x2C1B3C6D & mask) >> 32 - size.bit_length() + 1
+                counts[begin + code] += 1
+        x = np.sqrt(counts)
+        margins = x / np.linalg.norm(x) @ model.weights[:-1] + model.weights[-1]
+        away = [sum(t * math.log1p(math.exp(-c * m)) for t, c, m in zip(trust, word, margins, strict=True)) for trust, word in zip(model.trust, model.code, strict=True)]
+        shares = [math.exp(-d) for d in away]
+        return model.languages[away.index(min(away))], max(shares) / sum(shares)
+
+    rows = [r for r in queries.op1_language_id(spark, SMALL).collect() if r.lang_pred != "und" and len(texts[r.doc_id]) < 1500]
+    assert len(rows) > 50
+    for r in rows:
+        name, share = plain(texts[r.doc_id])
+        assert r.score == pytest.approx(share, abs=1e-3) and (r.lang_pred == name or abs(share - 0.5) < 1e-2)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Rows without an id, copies and dirty labels don't pass the bounds."""
+    monkeypatch.setattr(lang_id, "SAMPLE_PER_LANGUAGE", 20)
+    monkeypatch.setattr(lang_id, "LANGUAGES", 3)
+    seen = []
+    monkeypatch.setattr(lang_id, "fit", lambda x, labels, real=lang_id.fit: seen.append((len(x), sorted(set(labels)))) or real(x, labels))
+    rows = [(None, f"text {i % 400} of a", "en") for i in range(3000)] + [(1, "the same", "fr")] * 2000 + [(i, f"w{i} z", "de") for i in range(500)] + [(i, "x", f"dirty{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lang_id.train(df)
+    assert seen[0][1] == ["de", "en", "fr"] and seen[0][0] <= 60
+
+
 def test_codewords_are_apart():
     for n in (2, 4, 7, 20):
         code = lang_id.codewords(n)
@@ -243,6 +285,19 @@ def test_license_scan(spark):
     assert licenses.scan(df.limit(0)).count() == 0 and licenses.scan(df, given=[]).count() == 0
 
 
+def test_license_scan_odd(spark):
+    one = "Released under the MIT License."
+    rows = [(1, one), (1, one), (None, one), (2, prose(random.Random(1), 100_000, 10**6) + "\n" + one), (2, "Licensed under CC BY 4.0."), (3, "alone"), (4, None)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, unit int")
+    got = sorted(((r.doc_id, r.unit, r.license_id, r.dice) for r in licenses.scan(df).collect()), key=str)
+    assert got == sorted([(1, 0, "MIT", 1.0)] * 2 + [(None, 0, "MIT", 1.0), (2, 1, "MIT", 1.0), (2, 0, "CC-BY-4.0", 1.0)], key=str)
+    given = [("B", "alone"), ("Z", "released under the mit license"), ("A", "Released under the MIT license!")]
+    assert {r.license_id for r in licenses.scan(df, given=given).collect()} == {"Z"}  # of equal ones the first
+    assert licenses.scan(df, given=given[:1]).count() == 0
+    named = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert licenses.scan(named, given=[]).schema["doc_id"].dataType.simpleString() == "string" and licenses.scan(named).count() == len(got)
+
+
 def dice(a, b):
     a, b = (set(zip(w, w[1:], strict=False)) for w in (re.findall("[a-z0-9]+", a.lower()), re.findall("[a-z0-9]+", b.lower())))
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
