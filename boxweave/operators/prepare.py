@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import names as n
 from ..sources.config import PrepareConfig
 from ..storage import stored
@@ -36,8 +37,11 @@ def stratified(
 
     grid = t.with_page_rect(t.tile_grid(pool, config.tile_size, config.overlap), config.tile_size)
     grid = grid.withColumn("tile_name", n.tile_name(n.stem(F.col("file_name")), F.col("tile_x"), F.col("tile_y")))
-    step = int(config.tile_size * (1 - config.overlap))
-    grid = grid.withColumn("tile_id", F.col("image_id").cast("long") * 1_000_000 + (F.col("tile_y") / step * 1000 + F.col("tile_x") / step).cast("long"))
+    step = g.tile_step(config.tile_size, config.overlap)
+    # as many numbers for each image as its largest grid has tiles: no two tiles share one
+    across, down = images.agg(F.max(F.ceil(F.col("w") / step)), F.max(F.ceil(F.col("h") / step))).first()
+    row, column = F.expr(f"tile_y DIV {step}"), F.expr(f"tile_x DIV {step}")
+    grid = grid.withColumn("tile_id", (F.col("image_id").cast("long") * int(down or 1) + row) * int(across or 1) + column)
     tiled = t.tile_boxes(kept, pool, config.tile_size, config.overlap, config.fit)
 
     members = stored(a.build_atoms(grid, pool).select("tile_id", "atom_id"), "atoms")

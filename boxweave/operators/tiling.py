@@ -56,6 +56,19 @@ def tile_boxes(boxes: DataFrame, images: DataFrame, size: int = 1280, overlap: f
     return inside.withColumns(norm).where("bw > 0 AND bh > 0")
 
 
+def tiles_touched(boxes: DataFrame, images: DataFrame, size: int = 1280, overlap: float = 0.0) -> DataFrame:
+    """Boxes with each tile that they meet, be it in a line only."""
+    step = g.tile_step(size, overlap)
+    c = F.col
+    met = boxes.join(images.select("image_id", "w", "h"), "image_id")
+    for axis, extent in (("x", "w"), ("y", "h")):
+        first = F.greatest(F.lit(0), F.ceil((c(f"{axis}1") - size) / step).cast("int"))
+        last = F.least(F.ceil(c(extent) / step).cast("int") - 1, F.floor(c(f"{axis}2") / step).cast("int"))
+        met = met.withColumns({"_a": first, "_b": last}).where("_a <= _b")
+        met = met.withColumn(f"tile_{axis}", F.explode(F.sequence(c("_a") * step, c("_b") * step, F.lit(step)))).drop("_a", "_b")
+    return met
+
+
 def tile_class_counts(tiled: DataFrame) -> DataFrame:
     return tiled.groupBy("image_id", "tile_x", "tile_y", "class_id").agg(F.count("*").alias("n"))
 

@@ -73,9 +73,9 @@ def split_images(spark: SparkSession, d: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes of every seventh order, each with a weaker copy moved by (3, 2);
-    det_id is unique over the table."""
-    two = boxes(spark, d).where("l_orderkey % 7 = 0").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    """All boxes, each with a weaker copy moved by (3, 2); det_id is unique over the
+    table."""
+    two = boxes(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     moved = two.withColumns({c: F.col(c) + F.col("k") * (3 if c[0] == "x" else 2) for c in ("x1", "x2", "y1", "y2")})
     moved = moved.withColumn("confidence", F.col("confidence") * (F.lit(1.0) - F.lit(0.25) * F.col("k")))
     # unique, and the same in both engines: the five keys are, and k tells copies apart
@@ -84,10 +84,10 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
 
 
 DETECTIONS_SQL = f"""{BOXES_SQL},
-two AS (SELECT * EXCLUDE (x1, y1, x2, y2, confidence), k, x1 + 3 * k AS x1, y1 + 2 * k AS y1, x2 + 3 * k AS x2, y2 + 2 * k AS y2,
+two AS MATERIALIZED (SELECT * EXCLUDE (x1, y1, x2, y2, confidence), k, x1 + 3 * k AS x1, y1 + 2 * k AS y1, x2 + 3 * k AS x2, y2 + 2 * k AS y2,
   confidence * (CAST(1.0 AS DOUBLE) - CAST(0.25 AS DOUBLE) * k) AS confidence
-  FROM boxes, (VALUES (0), (1)) v(k) WHERE l_orderkey % 7 = 0),
-det AS (SELECT image_id, class_id, x1, y1, x2, y2, confidence, CAST('0x' || substr(md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
+  FROM boxes, (VALUES (0), (1)) v(k)),
+det AS MATERIALIZED (SELECT image_id, class_id, x1, y1, x2, y2, confidence, CAST('0x' || substr(md5(concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
   CAST(image_id AS VARCHAR), CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR), CAST(k AS VARCHAR))), 1, 15) AS BIGINT) AS det_id FROM two)"""
 
 
@@ -135,17 +135,23 @@ _LINE = """CASE l_orderkey % 17 WHEN 0 THEN concat_ws(' ', {c}, '0.5', '0.25', '
 _TEXT = {"spark": "CAST({} AS STRING)", "duckdb": "CAST({} AS VARCHAR)"}
 
 
-def _line(kind: str) -> str:
+def _line(kind: str, numbers: bool = False) -> str:
     cast = _TEXT[kind]
-    return _LINE.format(c=cast.format("l_partkey % 25"), q=cast.format("CAST(l_quantity AS INT) + 100"))
+    line = _LINE.replace("concat('x', {c}, ' 0.5 0.5 0.1 0.1')", "concat({c}, ' 0.5 0.5 0.1 0.1 x')") if numbers else _LINE
+    return line.format(c=cast.format("l_partkey % 25"), q=cast.format("CAST(l_quantity AS INT) + 100"))
 
 
-def label_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Label lines, some of them damaged."""
-    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{_line('spark')} AS line")
+def label_lines(spark: SparkSession, d: str, numbers: bool = False) -> DataFrame:
+    """Label lines, some of them damaged; numbers: where there are five tokens, all
+    are numbers."""
+    return table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f"{_line('spark', numbers)} AS line")
 
 
-LINES_SQL = f"lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_line('duckdb')} AS line FROM lineitem)"
+def lines_sql(numbers: bool = False) -> str:
+    return f"lines AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_line('duckdb', numbers)} AS line FROM lineitem)"
+
+
+LINES_SQL = lines_sql()
 
 _RECORD = """concat('{{"', CASE l_linenumber % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'ID' ELSE 'crop_id' END, '":"', CASE WHEN l_orderkey % 13 = 0 THEN '' ELSE concat({o}, '-', {p}) END, '","x1":', {x},
   CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE concat(',"x2":', {x2}) END, ',"y1":10,"y2":', CASE WHEN l_orderkey % 11 = 0 THEN '"ten"' ELSE '20.5' END,

@@ -49,20 +49,23 @@ lenient AS (SELECT {_LINE_KEY}, CAST(regexp_extract(t, '^([+-]?[0-9]+)\s+(.+)$',
 
 
 def _nms(source: str, group: str, threshold: float = 0.5) -> str:
-    """Boxes of a group one after the other, each against those kept so far."""
-    same = " AND ".join(f"s.{c} = r.{c}" for c in group.split(", "))
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY confidence DESC, det_id) AS rn FROM {source}),
+    """Boxes of a group one after the other, each against those kept so far: a list
+    of who is kept, and for each box the places before it that overlap it."""
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in group.split(", "))
+    of = lambda x: ", ".join(f"{x}.{c}" for c in group.split(", "))
+    inter = "greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0)"
+    return f"""ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY confidence DESC, det_id) AS rn FROM {source}),
+near AS MATERIALIZED (SELECT {of("b")}, b.rn, list(a.rn) AS above FROM ranked a JOIN ranked b ON {same("a", "b")} AND a.rn < b.rn
+  WHERE {inter} > 0 AND {inter} / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {inter}) >= {threshold} GROUP BY ALL),
+row_of AS MATERIALIZED (SELECT {of("r")}, r.rn, n.above FROM ranked r LEFT JOIN near n ON {same("r", "n")} AND r.rn = n.rn),
 steps AS (
-  SELECT {group}, CAST(1 AS BIGINT) AS rn, [{{'id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM ranked WHERE rn = 1
+  SELECT {group}, CAST(1 AS BIGINT) AS rn, [true] AS kept FROM row_of WHERE rn = 1
   UNION ALL
-  SELECT {", ".join("r." + c for c in group.split(", "))}, r.rn, CASE WHEN len(list_filter(s.kept, lambda k:
-    greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0) /
-    ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0)) >= {threshold})) > 0
-    THEN s.kept ELSE list_append(s.kept, {{'id': r.det_id, 'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2}}) END
-  FROM steps s JOIN ranked r ON {same} AND r.rn = s.rn + 1),
+  SELECT {of("r")}, r.rn, list_append(s.kept, r.above IS NULL OR len(list_filter(r.above, lambda k: s.kept[k])) = 0)
+  FROM steps s JOIN row_of r ON {same("s", "r")} AND r.rn = s.rn + 1),
 ends AS (SELECT * FROM steps QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY rn DESC) = 1),
-ids AS (SELECT unnest(kept).id AS det_id FROM ends),
-survivors AS (SELECT * FROM {source} WHERE det_id IN (SELECT det_id FROM ids))"""
+ids AS (SELECT {group}, unnest(kept) AS stays, unnest(range(1, len(kept) + 1)) AS rn FROM ends),
+survivors AS (SELECT ranked.* FROM ranked JOIN ids i ON {same("ranked", "i")} AND ranked.rn = i.rn WHERE stays)"""
 
 
 _DET = "image_id, class_id, det_id, x1, y1, x2, y2, confidence"
@@ -79,14 +82,15 @@ reach AS (SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l
 least_of AS (SELECT s AS tile_id, min(t) AS least FROM reach GROUP BY s),
 atoms AS (SELECT tile_id, page_key, CAST(CASE WHEN collapsed THEN min(tile_id) OVER (PARTITION BY page_key) ELSE least END AS BIGINT) AS atom_id
   FROM tiles JOIN flags USING (page_key) JOIN least_of USING (tile_id))"""
-_TILE_CLASSES = """tile_classes AS (SELECT l_suppkey * 1000 + (l_linenumber % 2) * 10 + l_partkey % 2 AS tile_id, CAST(l_partkey % 25 AS INTEGER) AS class_id, count(*) AS n
-  FROM lineitem WHERE l_orderkey % 29 = 0 GROUP BY ALL)"""
+_RARE = "CAST(floor(sqrt((l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 160000)) AS INTEGER)"
+_TILE_CLASSES = f"""tile_classes AS MATERIALIZED (SELECT l_suppkey * 1000 + (l_linenumber % 2) * 10 + l_partkey % 2 AS tile_id, {_RARE} AS class_id, count(*) AS n
+  FROM lineitem GROUP BY ALL)"""
 
 
 def _set_cover(rounds: int) -> str:
     wanted = ", ".join(map(str, SET_COVER_LABELS))
     out = [
-        f"""WITH {d.BOXES_SQL}, counts AS (SELECT image_id // 4 AS page_key, class_id, count(*) AS n, (image_id // 4 * 7919 + 13) % 1009 AS ord FROM boxes WHERE l_orderkey % 101 < 4 GROUP BY ALL),
+        f"""WITH {d.BOXES_SQL}, counts AS MATERIALIZED (SELECT image_id // 4 AS page_key, {_RARE} AS class_id, count(*) AS n, (image_id // 4 * 7919 + 13) % 1009 AS ord FROM boxes GROUP BY ALL),
 sizes AS (SELECT page_key, ord, sum(n) AS size FROM counts GROUP BY ALL),
 chosen0 AS (SELECT CAST(NULL AS INTEGER) AS position, CAST(NULL AS BIGINT) AS page_key WHERE false)"""
     ]
@@ -133,7 +137,7 @@ _TRIM = r"'(?i)(_png_[0-9]+_[0-9]+_[0-9]+_[0-9]+_[0-9]+)?(\.rf\.[0-9a-f]+)?$'"
 _SCORED = _tiled(1280, 960, True).replace("WITH ", "", 1) + """,
 local AS (SELECT image_id, w, h, tile_x, tile_y, class_id, confidence / 105000 AS confidence, cx1 - 0.5::DOUBLE AS lx1, cy1 + 0.25::DOUBLE AS ly1,
   CASE WHEN l_orderkey % 91 = 0 THEN cx1 - 0.5::DOUBLE ELSE cx2 + 0.5::DOUBLE END AS lx2, cy2 + 0.75::DOUBLE AS ly2, l_orderkey, l_linenumber, l_partkey
-  FROM tiled JOIN images USING (image_id) WHERE l_orderkey % 7 = 0),
+  FROM tiled JOIN images USING (image_id)),
 scored AS (SELECT *, CAST('0x' || substr(md5(concat_ws('-', CAST(image_id AS VARCHAR), CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR),
   CAST(CAST(round(confidence * 10500000) AS BIGINT) AS VARCHAR), CAST(tile_x AS VARCHAR), CAST(tile_y AS VARCHAR))), 1, 15) AS BIGINT) AS det_id FROM local),
 lifted AS (SELECT image_id, class_id, det_id, confidence,
@@ -166,11 +170,11 @@ SELECT split, rank, class_id, CASE WHEN class_id <> 3 THEN name END AS name, n F
 SELECT split, n_images, coalesce(n_kept, 0) AS n_kept, coalesce(n_background, 0) AS n_background, CAST(0 AS BIGINT) AS n_dropped FROM (SELECT split, count(*) AS n_images FROM split_images GROUP BY split) LEFT JOIN c USING (split)""",
     "label_split_grid": f"""WITH {d.ANNOTATIONS_SQL}, {_space_sql()}, c AS (SELECT split, coalesce(dst_id, {_BG}) AS label_id, count(*) AS n FROM ann LEFT JOIN pol ON class_id = src_id WHERE split <> 'valid' GROUP BY ALL)
 SELECT split, label_id, label, coalesce(n, 0) AS n FROM spaces CROSS JOIN (VALUES ('train'), ('valid'), ('test')) v(split) LEFT JOIN c USING (split, label_id)""",
-    "parse_labels_strict": rf"""WITH {d.LINES_SQL}, {_PARSED}, s AS (SELECT *, regexp_split_to_array(t, '\s+') AS k FROM parsed WHERE l_orderkey % 17 <> 2)
+    "parse_labels_strict": rf"""WITH {d.lines_sql(True)}, {_PARSED}, s AS (SELECT *, regexp_split_to_array(t, '\s+') AS k FROM parsed)
 SELECT {_LINE_KEY}, CAST(k[1] AS INTEGER) AS class_id, CAST(k[2] AS DOUBLE) AS xc, CAST(k[3] AS DOUBLE) AS yc, CAST(k[4] AS DOUBLE) AS bw, CAST(k[5] AS DOUBLE) AS bh FROM s WHERE len(k) = 5""",
     "parse_labels_lenient": f"WITH {_LENIENT} SELECT {_LINE_KEY}, class_id, rest FROM lenient",
-    "label_line_counts": rf"""WITH {d.LINES_SQL}, {_PARSED} SELECT l_suppkey, count(*) AS n_lines, count(*) FILTER (regexp_matches(t, '^\S+(\s+\S+){{4}}$')) AS n_strict,
-  count(*) FILTER (regexp_matches(t, '^[+-]?[0-9]+\s+\S')) AS n_lenient FROM parsed WHERE l_orderkey % 17 <> 2 GROUP BY l_suppkey""",
+    "label_line_counts": rf"""WITH {d.lines_sql(True)}, {_PARSED} SELECT l_suppkey, count(*) AS n_lines, count(*) FILTER (regexp_matches(t, '^\S+(\s+\S+){{4}}$')) AS n_strict,
+  count(*) FILTER (regexp_matches(t, '^[+-]?[0-9]+\s+\S')) AS n_lenient FROM parsed GROUP BY l_suppkey""",
     "label_files": f"""WITH {_LENIENT}, {d.IMAGES_SQL}, {_space_sql()},
 f AS (SELECT l_suppkey, string_agg(concat_ws(' ', CAST(dst_id AS VARCHAR), rest), chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, rest, concat_ws(' ', CAST(dst_id AS VARCHAR), rest)) || chr(10) AS text
   FROM lenient JOIN pol ON class_id = src_id WHERE l_suppkey % 6 <> 0 GROUP BY l_suppkey)
@@ -194,7 +198,7 @@ SELECT {_LINE_KEY}, crop_id, x1, y1, x2, y2, CASE WHEN coalesce(c, 0) = 0 THEN C
 FROM f WHERE crop_id IS NOT NULL AND x2 > x1 AND y2 > y1""",
     "nms_per_class": _NMS_CLASS,
     "nms_by_rounds": _NMS_CLASS,
-    "nms_agnostic": f"WITH RECURSIVE {d.DETECTIONS_SQL}, chosen AS (SELECT * FROM det WHERE det_id % 3 = 0 AND confidence >= 2000), {_nms("chosen", "image_id")} SELECT {_DET} FROM survivors",
+    "nms_agnostic": f"WITH RECURSIVE {d.DETECTIONS_SQL}, chosen AS (SELECT * FROM det WHERE confidence >= 2000), {_nms("chosen", "image_id")} SELECT {_DET} FROM survivors",
     "iou_pairs": f"""WITH {d.DETECTIONS_SQL}, p AS (SELECT a.image_id, a.det_id AS a_id, b.det_id AS b_id,
   greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS inter, (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS total
   FROM det a JOIN det b ON a.image_id = b.image_id AND a.det_id < b.det_id)
@@ -210,13 +214,13 @@ FROM r JOIN classes USING (class_id) WHERE confidence >= 0.25""",
     "localized_records": """SELECT concat('img', s_suppkey) AS image, concat('img', s_suppkey, '-', i) AS crop_id, CAST(s_suppkey % 50 AS DOUBLE) AS x1, CAST(i AS DOUBLE) AS y1, CAST(s_suppkey % 50 + i * 5 AS DOUBLE) AS x2,
   CAST(20 AS DOUBLE) AS y2, CAST(0.5 AS DOUBLE) AS confidence, CAST(0 AS INTEGER) AS class_id, 'tap' AS class_name FROM supplier, range(1, 3) v(i)""",
     "tiles_touched": f"""WITH {d.BOXES_SQL}, {_grid(1280, 1280)} SELECT image_id, tile_x, tile_y, count(*) AS n FROM boxes JOIN grid USING (image_id)
-WHERE l_orderkey % 5 = 0 AND NOT (x2 < tile_x OR x1 > tile_x + 1280 OR y2 < tile_y OR y1 > tile_y + 1280) GROUP BY ALL""",
+WHERE NOT (x2 < tile_x OR x1 > tile_x + 1280 OR y2 < tile_y OR y1 > tile_y + 1280) GROUP BY ALL""",
     "detection_lists": f"""WITH RECURSIVE {d.DETECTIONS_SQL}, {_nms('det', 'image_id, class_id')}
 SELECT image_id, count(*) AS num_detections, sha256(string_agg(concat_ws(':', CAST(class_id AS VARCHAR), CAST(x1 AS VARCHAR), CAST(y1 AS VARCHAR), CAST(x2 AS VARCHAR), CAST(y2 AS VARCHAR)), ',' ORDER BY det_id)) AS digest FROM survivors GROUP BY image_id""",
     "truth_pixel_boxes": f"""WITH {d.BOXES_SQL}, c AS (SELECT b.*, w, h, (x1 + x2) / 2 / w AS xc, (y1 + y2) / 2 / h AS yc, (bw0 + 60) / w AS nw, (bh0 + 31) / h AS nh FROM boxes b JOIN images USING (image_id))
 SELECT {_KEY}, class_id, greatest(0, CAST(round_even((xc - nw / 2) * w, 0) AS INTEGER)) AS x1, greatest(0, CAST(round_even((yc - nh / 2) * h, 0) AS INTEGER)) AS y1,
   least(CAST(w - 1 AS INTEGER), CAST(round_even((xc + nw / 2) * w, 0) AS INTEGER)) AS x2, least(CAST(h - 1 AS INTEGER), CAST(round_even((yc + nh / 2) * h, 0) AS INTEGER)) AS y2 FROM c""",
-    "truth_and_predicted": f"""WITH {d.DETECTIONS_SQL}, {d.CLASSES_SQL}, u AS (SELECT image_id, class_id, 'truth' AS side, CAST(NULL AS DOUBLE) AS confidence FROM boxes WHERE l_orderkey % 7 = 0 UNION ALL SELECT image_id, class_id, 'predicted', confidence FROM det),
+    "truth_and_predicted": f"""WITH {d.DETECTIONS_SQL}, {d.CLASSES_SQL}, u AS (SELECT image_id, class_id, 'truth' AS side, CAST(NULL AS DOUBLE) AS confidence FROM boxes UNION ALL SELECT image_id, class_id, 'predicted', confidence FROM det),
 k AS (SELECT image_id, side, {WORKED_CLASS} AS class_name, confidence FROM u {_NAMED})
 SELECT image_id, CASE WHEN class_name = '__background__' THEN side || '_background' ELSE side END AS kind, class_name, count(*) AS n, count(confidence) AS n_scored FROM k GROUP BY ALL""",
     "precision_recall": f"""WITH {d.DETECTIONS_SQL}, t AS (SELECT * FROM det WHERE det_id % 2 = 0), p AS (SELECT * FROM det WHERE det_id % 2 = 1),
@@ -237,8 +241,8 @@ SELECT concat('img', image_id) AS name, page_key, CASE WHEN ahead < (SELECT roun
     "ungrouped_split": """WITH f AS (SELECT concat('img', s_suppkey) AS name, row_number() OVER (ORDER BY (s_suppkey * 7919 + 13) % 1009, concat('img', s_suppkey)) AS rn FROM supplier)
 SELECT name, CASE WHEN rn <= (SELECT round_even(count(*) * CAST(0.15 AS DOUBLE), 0) FROM f) THEN 'valid' ELSE 'train' END AS split FROM f""",
     "deployment_pages": _set_cover(4),
-    "uncovered_labels": f"""WITH {d.BOXES_SQL}, counts AS (SELECT image_id // 4 AS page_key, class_id FROM boxes WHERE l_orderkey % 101 < 4 GROUP BY ALL HAVING count(*) > 1),
-w AS (SELECT CAST(i AS INTEGER) AS class_id FROM (SELECT unnest(range(0, 25, 3)) AS i UNION ALL SELECT 99)),
+    "uncovered_labels": f"""WITH {d.BOXES_SQL}, counts AS (SELECT image_id // 4 AS page_key, {_RARE} AS class_id FROM boxes GROUP BY ALL),
+w AS (SELECT CAST(i AS INTEGER) AS class_id FROM (SELECT unnest(range(0, 40, 3)) AS i UNION ALL SELECT 999)),
 h AS (SELECT class_id, (SELECT count(DISTINCT page_key) FROM counts c WHERE c.class_id = w.class_id AND page_key % 6 = 0) AS n_pages FROM w)
 SELECT class_id, n_pages FROM h WHERE n_pages < 3""",
     "tile_name_collisions": f"WITH {_DEALT} SELECT tile_name, count(DISTINCT tile_id) AS n_tiles, count(DISTINCT split) AS n_splits FROM dealt GROUP BY tile_name HAVING count(DISTINCT tile_id) > 1",

@@ -121,9 +121,9 @@ _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def parse_labels_strict(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines whose class isn't a number are an error to the strict scan, so they
-    are left out here first."""
-    rows = d.label_lines(spark, sf).where("l_orderkey % 17 <> 2").withColumn("l", n.strict_label(F.col("line"))).where("l IS NOT NULL")
+    """Lines whose class isn't a number are an error to the strict scan; here they
+    have another number of tokens."""
+    rows = d.label_lines(spark, sf, numbers=True).withColumn("l", n.strict_label(F.col("line"))).where("l IS NOT NULL")
     return rows.select(*_LINE_KEY, "l.*")
 
 
@@ -135,7 +135,7 @@ def parse_labels_lenient(spark: SparkSession, sf: str) -> DataFrame:
 def label_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     """What each scan makes of an image's lines: they differ for lines of more or
     fewer than five tokens."""
-    rows = d.label_lines(spark, sf).where("l_orderkey % 17 <> 2")
+    rows = d.label_lines(spark, sf, numbers=True)
     strict, lenient = n.strict_label(F.col("line")).isNotNull(), n.lenient_label(F.col("line")).isNotNull()
     return rows.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_if(strict).alias("n_strict"), F.count_if(lenient).alias("n_lenient"))
 
@@ -182,7 +182,7 @@ def nms_per_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nms_agnostic(spark: SparkSession, sf: str) -> DataFrame:
-    return nms.suppress(d.detections(spark, sf).where("det_id % 3 = 0"), ["image_id"], 0.5, 2000.0)
+    return nms.suppress(d.detections(spark, sf), ["image_id"], 0.5, 2000.0)
 
 
 def nms_by_rounds(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,7 +196,7 @@ def iou_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """What a scorer would say of tiles: each box in each tile that it meets, with
     half pixels, some of them of no width."""
-    tiled = tiling.tile_boxes(d.boxes(spark, sf).where("l_orderkey % 7 = 0"), d.images(spark, sf), SIZE, 0.25, fit=True)
+    tiled = tiling.tile_boxes(d.boxes(spark, sf), d.images(spark, sf), SIZE, 0.25, fit=True)
     rows = tiled.select(
         "image_id", "w", "h", "tile_x", "tile_y", "class_id", (F.col("confidence") / 105000).alias("confidence"),
         (F.col("cx1") - F.lit(0.5)).alias("lx1"), (F.col("cy1") + F.lit(0.25)).alias("ly1"),
@@ -244,11 +244,7 @@ def localized_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def tiles_touched(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles that a box meets, a line being enough, against those that it falls into."""
-    grid = tiling.tile_grid(d.images(spark, sf), SIZE, 0.0)
-    near = d.boxes(spark, sf).where("l_orderkey % 5 = 0").join(grid, "image_id")
-    c = F.col
-    near = near.where(g.touches(c("x1"), c("y1"), c("x2"), c("y2"), c("tile_x"), c("tile_y"), SIZE))
-    return near.groupBy("image_id", "tile_x", "tile_y").agg(F.count("*").alias("n"))
+    return tiling.tiles_touched(d.boxes(spark, sf), d.images(spark, sf), SIZE).groupBy("image_id", "tile_x", "tile_y").agg(F.count("*").alias("n"))
 
 
 def detection_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +267,7 @@ def truth_pixel_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def truth_and_predicted(spark: SparkSession, sf: str) -> DataFrame:
     classes = d.classes(spark).withColumn("name", F.when(F.col("class_id") == 9, labels.BACKGROUND).otherwise(F.col("name")))
     cols = ["image_id", "class_id", *_BOX]
-    truth = detections.named(d.boxes(spark, sf).where("l_orderkey % 7 = 0").select(*cols), classes)
+    truth = detections.named(d.boxes(spark, sf).select(*cols), classes)
     found = detections.named(d.detections(spark, sf).select(*cols, "confidence"), classes)
     return detections.overlay(truth, found).groupBy("image_id", "kind", "class_name").agg(F.count("*").alias("n"), F.count("confidence").alias("n_scored"))
 
@@ -320,12 +316,15 @@ def ungrouped_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.ungrouped(files, 0.15).select("name", "split")
 
 
-SET_COVER_LABELS = list(range(0, 25, 2))
+#: A class of 400; class c has (2 c + 1) of 160,000 boxes, so that low ones are rare.
+RARE = "CAST(sqrt((l_orderkey * 7919 + l_partkey * 31 + l_linenumber) % 160000) AS INT)"
+SET_COVER_LABELS = list(range(0, 26, 2))
 
 
 def _page_classes(spark: SparkSession, sf: str) -> DataFrame:
-    few = d.boxes(spark, sf).where("l_orderkey % 101 < 4").withColumn("page_key", F.expr("image_id DIV 4"))
-    counts = few.groupBy("page_key", "class_id").agg(F.count("*").alias("n"))
+    """Classes of pages: of 400 by arithmetic, some common and many rare."""
+    rows = d.boxes(spark, sf).withColumns({"page_key": F.expr("image_id DIV 4"), "class_id": F.expr(RARE)})
+    counts = rows.groupBy("page_key", "class_id").agg(F.count("*").alias("n"))
     return counts.withColumn("ord", (F.col("page_key") * 7919 + 13) % 1009)
 
 
@@ -336,8 +335,8 @@ def deployment_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def uncovered_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels that pages chosen by arithmetic hold fewer than 3 times."""
-    counts = _page_classes(spark, sf).where("n > 1")
-    return splits.uncovered_labels(counts, [*range(0, 25, 3), 99], counts.where("page_key % 6 = 0"), 3)
+    counts = _page_classes(spark, sf)
+    return splits.uncovered_labels(counts, [*range(0, 40, 3), 999], counts.where("page_key % 6 = 0"), 3)
 
 
 ASSIGN_LABELS, ASSIGN_FLOORS = [0, 7, 11], (2, 1)
@@ -352,8 +351,8 @@ def _assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 def _tile_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of tiles, by arithmetic over line items."""
-    rows = d.table(spark, sf, "lineitem").where("l_orderkey % 29 = 0")
-    keyed = rows.selectExpr("l_suppkey * 1000 + (l_linenumber % 2) * 10 + l_partkey % 2 AS tile_id", "CAST(l_partkey % 25 AS INT) AS class_id")
+    tile = "l_suppkey * 1000 + (l_linenumber % 2) * 10 + l_partkey % 2 AS tile_id"
+    keyed = d.table(spark, sf, "lineitem").selectExpr(tile, f"{RARE} AS class_id")
     return keyed.groupBy("tile_id", "class_id").agg(F.count("*").alias("n"))
 
 

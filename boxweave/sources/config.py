@@ -66,8 +66,35 @@ class PrepareConfig:
 
     @classmethod
     def of(cls, given: dict[str, Any]) -> PrepareConfig:
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in given.items() if k in known})
+        """From flat keys, or from a run's configuration with the sections split and
+        slicing; a key of these that isn't known is an error.  Other sections (paths,
+        training, inference) are for other programs."""
+        if not isinstance(given.get("split"), dict):
+            return cls(**_known(given, {f.name: f.name for f in fields(cls)}, "the configuration"))
+        split, slicing = dict(given["split"]), dict(given.get("slicing") or {})
+        tiles, drawing = split.pop("stratified_tile", None) or {}, split.pop("drawing_test", None) or {}
+        found = _known(split, {"mode": "mode", "seed": "seed", "valid_fraction": "valid_fraction", "group_by_page_prefix": "group_by_page"}, "split")
+        parts = _known(tiles, {
+            "train_fraction": "train", "valid_fraction": "valid", "test_fraction": "test",
+            "min_test_atoms_per_class": "min_test_atoms", "min_valid_atoms_per_class": "min_valid_atoms",
+        }, "split.stratified_tile")
+        shares = {k: float(parts.pop(k)) for k in ("train", "valid", "test") if k in parts}
+        held = _known(drawing, {"enabled": "enabled", "min_clusters_per_class": "min_pages", "max_clusters": "max_pages"}, "split.drawing_test")
+        if held.get("max_pages") in ("", "null"):
+            held["max_pages"] = None
+        if not held.pop("enabled", True):
+            held["max_pages"] = 0
+        cut = _known(slicing, {"slice_size": "tile_size", "overlap": "overlap", "fit_box_to_slice": "fit"}, "slicing")
+        own = {**found, **parts, **held, **cut}
+        if shares:
+            own["fractions"] = {**cls().fractions, **shares}
+        return cls(**own)
+
+
+def _known(given: dict[str, Any], names: dict[str, str], where: str) -> dict[str, Any]:
+    if strange := sorted(set(map(str, given)) - set(names)):
+        raise ValueError(f"{where} has unknown keys: {', '.join(strange)}")
+    return {names[k]: v for k, v in given.items()}
 
 
 @dataclass(frozen=True)
@@ -77,3 +104,13 @@ class InferenceConfig:
     min_confidence: float = 0.25
     batch_size: int = 16
     iou: float = 0.5
+
+    @classmethod
+    def of(cls, given: dict[str, Any]) -> InferenceConfig:
+        """From a run's section inference; the size that the model scales tiles to is
+        the scorer's own matter."""
+        own = dict(given.get("inference", given))
+        own.pop("model_input_size", None)
+        return cls(**_known(own, {
+            "slice_size": "tile_size", "overlap": "overlap", "conf_threshold": "min_confidence", "batch_size": "batch_size", "nms_iou_threshold": "iou",
+        }, "inference"))

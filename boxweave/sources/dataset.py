@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as n
+from ..storage import file_system
 from .config import parse_yaml
 
 #: Folder to split; a later folder takes the place of an earlier one of its split.
@@ -19,8 +20,13 @@ FOLDERS = {"train": "train", "valid": "valid", "test": "test", "val": "valid"}
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+def decoded_path(path: Column) -> Column:
+    """A path that a reader gives as part of a URL."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def class_names(given: list | dict) -> list[str]:
@@ -55,10 +61,16 @@ class Dataset:
     def classes(self) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(self.names)), "class_id int, name string")
 
-    def _of(self, df: DataFrame, folder: str, path_col: str) -> DataFrame:
+    def _of(self, df: DataFrame, folder: str, path_col: str, coded: bool = False) -> DataFrame:
+        # told by the folder that a file lies in below the root, as the store spells the root
+        fs, p = file_system(self.spark, self.root)
+        root = fs.makeQualified(p).toUri().getPath().rstrip("/")
+        inner = F.regexp_replace(F.col(path_col), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        if coded:
+            inner = decoded_path(inner)
         split = F.lit(None).cast("string")
         for s, f in self.folders.items():
-            split = F.when(F.col(path_col).contains(f"/{f}/{folder}/"), s).otherwise(split)
+            split = F.when(inner.startswith(f"{root}/{f}/{folder}/"), s).otherwise(split)
         return df.withColumn("split", split)
 
     def _paths(self, folder: str) -> list[str]:
@@ -73,19 +85,19 @@ class Dataset:
     def image_sizes(self) -> DataFrame:
         """images with w and h; those that can't be decoded are left out."""
         decoded = self.spark.read.format("image").option("dropInvalid", True).load(self._paths("images"))
-        files = self._of(decoded.select("image.origin", F.col("image.width").alias("w"), F.col("image.height").alias("h")), "images", "origin")
-        out = files.withColumn("file_name", n.base_name(F.col("origin"))).where(n.is_image(F.col("file_name")))
+        files = self._of(decoded.select("image.origin", F.col("image.width").alias("w"), F.col("image.height").alias("h")), "images", "origin", coded=True)
+        out = files.withColumn("file_name", n.base_name(decoded_path(F.col("origin")))).where(n.is_image(F.col("file_name")))
         return out.withColumn("stem", n.stem(F.col("file_name"))).select("split", "file_name", "stem", "w", "h")
 
     def pixels(self) -> DataFrame:
         """file_name and the decoded raster, for operators that need it."""
         decoded = self.spark.read.format("image").option("dropInvalid", True).load(self._paths("images"))
-        return decoded.select(n.base_name(F.col("image.origin")).alias("file_name"), "image.*")
+        return decoded.select(n.base_name(decoded_path(F.col("image.origin"))).alias("file_name"), "image.*")
 
     def label_lines(self) -> DataFrame:
         """split, stem, line_no, line of all label files."""
         files = self.spark.read.text(self._paths("labels"), wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("path"))
-        rows = self._of(files, "labels", "path").withColumn("stem", n.stem(n.base_name(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))))
+        rows = self._of(files, "labels", "path", coded=True).withColumn("stem", n.stem(n.base_name(decoded_path(F.col("path")))))
         return rows.select("split", "stem", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
     def annotations(self) -> DataFrame:

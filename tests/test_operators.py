@@ -42,7 +42,7 @@ def test_nms_against_brute_force(spark, threshold):
     assert {r.det_id for r in nms.suppress(df, ["g"], threshold).collect()} == want
     assert {r.det_id for r in nms.suppress_large(df, ["g"], threshold, cell=32).collect()} == want
     more = df.unionAll(spark.createDataFrame([(7, 1000, 0, 0, 9, 9, 0.5)], BOX))
-    assert {r.det_id for r in nms.suppress_any(more, ["g"], threshold, 10).collect()} == want | {1000}
+    assert {r.det_id for r in nms.suppress(more, ["g"], threshold, most=10).collect()} == want | {1000}
 
 
 def test_nms_cases(spark):
@@ -51,8 +51,21 @@ def test_nms_cases(spark):
     assert sorted(r.det_id for r in nms.suppress(df, ["g"], 0.5).collect()) == [0, 2, 4]
     assert sorted(r.det_id for r in nms.suppress(df, ["g"], 0.5, 0.45).collect()) == [0, 2]
     assert nms.suppress(df.limit(0), ["g"]).count() == 0
-    with pytest.raises(ValueError):
-        nms.suppress_large(df, ["g"], 0.0)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 1.0])
+def test_fold_and_rounds_agree(spark, threshold):
+    """Rows that share an id, equal rows, boxes without an area, ties, nulls."""
+    rng = random.Random(4)
+    rows = random_boxes(3, 60)
+    rows += [rng.choice(rows) for _ in range(20)] + [(r[0], rng.choice(rows)[1], *r[2:]) for r in rows[:15]] + [(0, 5, 3, 3, 3, 9, 0.9), (0, 5, 3, 3, 3, 9, 0.9), (1, 7, 10, 10, 30, 30, None)]
+    df = spark.createDataFrame([(*r, f"n{i % 3}") for i, r in enumerate(rows)], BOX + ", note string").repartition(3)
+    key = lambda found: sorted(map(tuple, found.collect()), key=str)
+    folded, rounds = nms.suppress(df, ["g"], threshold, most=10**6), nms.suppress_large(df, ["g"], threshold, cell=32)
+    assert folded.columns == rounds.columns == df.columns
+    assert key(folded) == key(rounds) == key(nms.suppress(df, ["g"], threshold, most=1))
+    assert threshold > 0 or folded.count() == 2
+    assert key(nms.suppress(df, ["g"], threshold, 0.5, most=1)) == key(nms.suppress(df, ["g"], threshold, 0.5))
 
 
 def test_iou_pairs(spark):
@@ -255,3 +268,29 @@ def test_verify_raises(spark):
     with pytest.raises(AssertionError, match="shared_pixels: 1"):
         verify.verify(tiles, none)
     verify.verify(tiles.where("tile_id = 1"), none)
+
+
+def test_choices_by_jobs_equal_those_on_the_driver(spark, monkeypatch):
+    rng = random.Random(6)
+    counts = [(p, rng.randrange(40), c, rng.randrange(1, 9)) for p in range(60) for c in rng.sample(range(30), rng.randrange(0, 5))]
+    ords = {p: o for p, o, _, _ in counts}
+    pages = spark.createDataFrame([(p, ords[p], c, n) for p, _, c, n in counts], "page_key long, ord int, class_id int, n int")
+    atoms = spark.createDataFrame([(p, p * 7 % 60) for p in range(60)], "atom_id long, ord int")
+    classes = pages.selectExpr("page_key AS atom_id", "class_id")
+    run = lambda: (splits.deployment_pages(pages, range(0, 30, 2), 2), sorted(map(tuple, splits.stratified(atoms, classes, [3, 4, 8, 9], {"test": 0.2, "valid": 0.1}, 3, 2).collect())))
+    held = run()
+    # the cover by its definition
+    has = {p: {c for q, _, c, _ in counts if q == p and c % 2 == 0} for p in range(60)}
+    size = {p: sum(n for q, _, _, n in counts if q == p) for p in range(60)}
+    covered, chosen = dict.fromkeys(set().union(*has.values()), 0), []
+    while True:
+        gain = {p: sum(covered[c] < 2 for c in has[p]) for p in has if p not in chosen}
+        p = min(gain, key=lambda p: (-gain[p], size[p], ords.get(p, 0), p))
+        if not gain[p]:
+            break
+        chosen.append(p)
+        for c in has[p]:
+            covered[c] += 1
+    assert held[0] == chosen
+    monkeypatch.setattr(splits, "MAX_CANDIDATES", 3)
+    assert run() == held

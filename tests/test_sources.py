@@ -46,6 +46,19 @@ def test_dataset(spark, root):
     assert spark.sql("SELECT count(*) FROM annotations").first()[0] == 2
 
 
+def test_split_is_told_below_the_root(spark, tmp_path):
+    """A folder named as a split above the root says nothing."""
+    root = tmp_path / "test" / "images" / "a b"
+    for folder in ("images", "labels"):
+        (root / "train" / folder).mkdir(parents=True)
+    (root / "train/images/x y.png").write_bytes(png(2, 2))
+    (root / "train/labels/x y.txt").write_text("0 .5 .5 .1 .1\n")
+    (root / "data.yaml").write_text("names: [a]")
+    ds = Dataset.open(spark, str(root))
+    assert [r.split for df in (ds.images(), ds.image_sizes(), ds.annotations()) for r in df.collect()] == ["train"] * 3
+    assert [r.stem for df in (ds.images(), ds.image_sizes(), ds.annotations()) for r in df.collect()] == ["x y"] * 3
+
+
 def test_dataset_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Dataset.open(spark, str(tmp_path))
@@ -90,7 +103,26 @@ def test_config(tmp_path):
     assert config.parse_yaml("") == {}
     space = config.label_space({"kept_classes": ["0038", 40], "class_groups": {"g": ["0038"]}, "other_policy": "background"})
     assert space.labels == ["g", "40", "__background__"]
-    assert config.PrepareConfig.of({"seed": 7, "unknown": 1}).seed == 7
+    assert config.PrepareConfig.of({"seed": 7}).seed == 7
+    nested = config.parse_yaml("""
+split:
+  mode: page_grouped
+  seed: 7
+  group_by_page_prefix: false
+  stratified_tile: {train_fraction: 0.7, valid_fraction: 0.2, min_test_atoms_per_class: 4}
+  drawing_test: {enabled: true, min_clusters_per_class: 2, max_clusters: null}
+slicing: {slice_size: 640, overlap: 0.25, fit_box_to_slice: true}
+training: {epochs: 50}
+inference: {slice_size: 320, model_input_size: 640, conf_threshold: 0.5, nms_iou_threshold: 0.6}
+""")
+    c = config.PrepareConfig.of(nested)
+    assert (c.mode, c.seed, c.group_by_page, c.min_test_atoms, c.min_valid_atoms, c.min_pages, c.max_pages) == ("page_grouped", 7, False, 4, 3, 2, None)
+    assert c.fractions == {"train": 0.7, "valid": 0.2, "test": 0.12} and (c.tile_size, c.overlap, c.fit) == (640, 0.25, True)
+    assert config.PrepareConfig.of({"split": {"drawing_test": {"enabled": False}}}).max_pages == 0
+    assert config.InferenceConfig.of(nested) == config.InferenceConfig(320, 0.25, 0.5, 16, 0.6)
+    for wrong in ({"seed": 7, "unknown": 1}, {"split": {"sed": 7}}, {"split": {"stratified_tile": {"x": 1}}}, {"split": {}, "slicing": {"size": 3}}):
+        with pytest.raises(ValueError, match="unknown"):
+            config.PrepareConfig.of(wrong)
     with pytest.raises(ValueError):
         config.PrepareConfig(mode="other")
     assert config.resolve("a/b", "/r") == "/r/a/b" and config.resolve("/a") == "/a" and config.resolve("s3://a") == "s3://a"
