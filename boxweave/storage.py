@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder which driver and executors share: ``spark.checkpoint.dir``.
@@ -46,13 +50,26 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+@contextlib.contextmanager
+def _cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end, not when the driver's
+    garbage collection finds them: what they wrote is read from the shared folder."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    nothing is lost with an executor.  The table goes when the application ends,
-    or with ``discard``."""
+    nothing is lost with an executor.  Shuffle files of the write go with its end,
+    the table when the application ends, or with ``discard``."""
     spark = df.sparkSession
     path = own_path(spark, name)
-    df.write.mode("overwrite").option("compression", codec).parquet(path)
+    with _cleaned_shuffles(spark):
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
