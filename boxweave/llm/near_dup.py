@@ -202,6 +202,19 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, done:
     return pairs.join(known, ["a", "b"], "left_anti")
 
 
+def _joined_up(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` with the links ``found`` too: whole components are nodes here, so
+    that only those which a new link touches go through rounds again."""
+    ends = found.select("a", "b")
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), F.col("component_id").alias("_of"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("_of", end)).drop("_of")
+    new = common.stored(connected(ends.distinct()), "joined")
+    known = labels.join(new.select(F.col("id").alias("component_id"), F.col("component_id").alias("_new")), "component_id", "left")
+    single = new.join(labels.select("id"), "id", "left_anti").select("id", "component_id")
+    return known.select("id", F.coalesce("_new", "component_id").alias("component_id")).unionAll(single)
+
+
 def _signed(rows: DataFrame, shingle: int, leave: list[str]) -> DataFrame:
     return common.stored(common.annotate(rows, "text", lambda col, _: sign(col, shingle), FIELDS).drop(*leave), "signatures")
 
@@ -239,8 +252,7 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, text_col: str, block:
     found = common.stored(confirm(pairs, texts, shingle, percent).where("linked"), "links")
     common.discard(texts, pairs, done)
     if not found.isEmpty():
-        ties = labels.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionAll(found.select("a", "b"))
-        labels = common.stored(connected(ties), "labels")
+        labels = common.stored(_joined_up(labels, found), "labels")
 
     tied = reps.select("d0", "d1", "id", "o").join(labels, "id", "left").withColumn("node", F.coalesce("component_id", "id"))
     least = tied.groupBy("node").agg(F.min("o").alias("first"))
