@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 from . import common
 
 RATE, OUT_RATE = 8000, 16000
-#: What the query stores: PCM of all texts at OUT_RATE would be 3.2 times the table.
-STORED_RATE = 2000
+#: What the query stores, of one of PARTS parts of the table at a time: PCM of all
+#: texts at this rate is several times the table.
+STORED_RATE, PARTS = OUT_RATE, 8
 #: Bytes of a payload are a multiple of this; also the ADPCM block.
 BLOCK = 576
 PAD = 255

@@ -265,6 +265,20 @@ def test_media_query_equals_sample_by_sample(spark):
             assert r.feature == feature_by_sample(payload, r.codec, telephony.STORED_RATE)
 
 
+def test_media_query_stores_full_rate(spark):
+    rows = queries.op2_telephony(spark, SMALL).collect()
+    assert len(rows) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    for r in rows:
+        samples = r.payload_bytes // 576 * 1145 if r.codec == "adpcm" else r.payload_bytes
+        assert r.feature.startswith(f"16000:{2 * samples}:")
+
+
+def test_shares_hold_each_row_once(spark):
+    table = common.stored(spark.range(1000).repartition(11), "rows")
+    parts = common.shares(table, 4)
+    assert len(parts) == 4 and sorted(r.id for p in parts for r in p.collect()) == list(range(1000))
+
+
 def test_unreadable_media(spark):
     df = spark.createDataFrame([(None,), (bytearray(b""),), (bytearray(b"RIFF1234WAVEdata"),)], "media binary")
     assert {tuple(r)[1:] for r in telephony.read_back(df).collect()} == {(None,) * 6}
