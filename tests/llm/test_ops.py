@@ -392,6 +392,39 @@ def test_near_duplicates_odd(spark):
     assert near_dup.groups(docs.limit(0)).count() == 0 and near_dup.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_others_hide_no_near_repeat(spark):
+    """The least ids of all buckets share too little with two others to be in a span."""
+    rng, rows, want = random.Random(17), [], []
+    for k in range(40):
+        p = prose(rng, 150, 10**6).split()
+        near = [f"e{rng.randrange(10**6)}" if i % 30 == 15 else w for i, w in enumerate(p)]
+        rows += [(10 * k + j, f"{prose(rng, 25, 10**6)} {' '.join(p[22 * j : 22 * j + 44])} {prose(rng, 25, 10**6)}") for j in range(7)]
+        two = [f"{prose(rng, 30, 10**6)} {' '.join(p)}", f"{' '.join(near)} {prose(rng, 30, 10**6)}"]
+        rows += [(10 * k + 7 + j, t) for j, t in enumerate(two)]
+        keys = [{w["key"] for w in found} for found in passages._windows(pa.array(two))[-1].to_pylist()]
+        x, y = map(passages._text_shingles, two)
+        if keys[0] & keys[1]:
+            want += [(10 * k + 7, *s) for s in passages._segments(np.isin(x, y))] + [(10 * k + 8, *s) for s in passages._segments(np.isin(y, x))]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost = [s for s in want if not any(r.doc_id == s[0] and r.start <= s[1] and s[2] <= r.end for r in got)]
+    assert len(want) >= 60 and not lost, (len(lost), len(want))
+    assert all(r.doc_id % 10 >= 7 for r in got)
+
+
+def test_a_span_counts_on_the_side_that_is_dense_enough(spark):
+    """Of two documents one has words strewn among a passage, whichever id is less."""
+    rng = random.Random(23)
+    p = prose(rng, 120, 10**6).split()
+    strewn = " ".join(f"{w} {prose(rng, 12, 10**6)}" if i % 24 == 23 else w for i, w in enumerate(p))
+    for whole, other in ((1, 2), (2, 1)):
+        got = passages._verify(
+            spark.createDataFrame([(1, 2, [])], "a long, b long, places array<int>"),
+            spark.createDataFrame([(whole, " ".join(p)), (other, strewn)], "doc_id long, text string"),
+        ).collect()[0]
+        spans = {1: got.spans_a, 2: got.spans_b}
+        assert [tuple(s) for s in spans[whole]] == [(0, 120)] and not spans[other]
+
+
 def test_rows_that_share_an_id(spark):
     rng = random.Random(3)
     long, other = prose(rng, 90, 10**6), prose(rng, 90, 10**6)
