@@ -845,6 +845,27 @@ def test_near_repeats_are_found(spark):
     assert len(got) >= 0.97 * len(rows)
 
 
+def test_flanks_are_asked_for_once(spark, monkeypatch):
+    """Answers are made for a bucket's least id, not for each of its keys, and later rounds
+    make them only where what is known has moved."""
+    rng, rows, made = random.Random(29), [], {}
+    for k in range(4):
+        p = prose(rng, 200, 10**6).split()
+        for j in range(30):
+            q = [f"e{rng.randrange(10**6)}" if rng.random() < 0.03 else w for w in p]
+            rows.append((100 * k + j, f"{prose(rng, 30, 10**6)} {' '.join(q)} {prose(rng, 30, 10**6)}"))
+
+    def counted(df, name, real=common.stored):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    words = sum(len(t.split()) for _, t in rows)
+    assert 0 < made["answers"] < 4 * words, (made["answers"], words)
+
+
 # -- 9 ------------------------------------------------------------------------
 
 
